@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, pii, quality
+from . import licenses, packing, pieces, pii, quality, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_license_scan": licenses.op1_license_scan,
         "op3_pii": pii.op3_pii,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     }
 
 
