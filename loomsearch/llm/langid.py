@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import read
 
 SLOTS, CHARS, STRETCH = 64, 40_000, 2048
-#: Texts with fewer phrases per letter than this share of the worst case resemble a language.
+#: Phrases per letter above which a text is like no learned language; text of a learned one has 0.1 to 0.35.
+MOST_PHRASES = 0.5
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -172,7 +173,7 @@ def sample(docs: DataFrame) -> dict[str, str]:
 
 
 def predictions(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
-    """The columns ``carried`` of ``docs`` with lang_pred, score and rate (phrases per letter)."""
+    """The columns ``carried`` of ``docs`` with __lang, __score and __rate (phrases per letter)."""
     from .packing import slices
 
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by CHARS for each language
@@ -184,16 +185,29 @@ def predictions(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
             for part in slices([t or "" for t in b.column(b.num_columns - 1).to_pylist()], 1 << 22):
                 for into, new in zip((lang, score, rate), m.predict(part), strict=True):
                     into += new
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*carried, "lang_pred", "score", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*carried, "__lang", "__score", "__rate"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(*carried, F.col("text").alias("__t")).mapInArrow(run, f"{schema}, lang_pred string, score double, rate double")
+    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col("text").alias("__t")).mapInArrow(run, f"{schema}, __lang string, __score double, __rate double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     model = Model(sample(docs))
-    return predictions(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predictions(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def keep_known(docs: DataFrame, most_phrases: float = MOST_PHRASES) -> DataFrame:
+    """The rows of ``docs`` that read like some learned language: not ``und``, and at most ``most_phrases`` phrases per letter.
+
+    Nothing is rejected for its length: a rate above the limit needs letters or
+    letter pairs that no labelled text has.  Without labels all rows stay.
+    """
+    model = Model(sample(docs))
+    if not model.langs:
+        return docs
+    known = (F.col("__lang") != UNKNOWN) & (F.col("__rate") <= most_phrases)
+    return predictions(docs, model, docs.columns).where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

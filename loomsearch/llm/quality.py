@@ -194,8 +194,13 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
-    return statistics(docs).where(verdict(F.col("__quality"), rules)).drop("__quality")
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    A generator drops the others: a filter would be pushed below the statistics
+    with a copy of them for each time that it names one.
+    """
+    keep = F.explode(F.filter(F.array(verdict(F.col("__quality"), rules)), lambda x: x))
+    return statistics(docs).select(*[F.col(f"`{c}`") for c in docs.columns], keep.alias("__keep")).drop("__keep")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
