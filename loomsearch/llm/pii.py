@@ -120,20 +120,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def disclosive(docs: DataFrame, near: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(entity, term) pairs whose pointwise mutual information reaches ``alpha`` of the entity's information."""
+    n = float(max(docs.count(), 1))
+    told = lambda n_t: F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * n_t)) >= alpha * F.log2(F.lit(n) / F.col("n_c"))
+    keys = ["__id", "__h"]
+    by_entity = near.select("entity", *keys).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") < n)
+    by_term = near.select("term", *keys).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_contexts)
-    pairs = materialize(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
+    # a term occurs in no fewer documents than it does near entities: pairs that fall short with that number need no count over all words
+    pairs = materialize(pairs.join(by_entity, "entity").join(by_term, "term").where(told(F.greatest("n_near", "n_ct"))), "pii-pairs")
+    terms = materialize(pairs.select("term").distinct(), "pii-terms")
     n_terms = terms.count()
     if not n_terms:
         return pairs.select("entity", "term")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole_text()), r"[^\p{L}\p{M}]+"))).alias("term"))
-    df_term = words.join(small_side(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    df_entity = near.select("entity", "__id", "__h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    n = max(docs.count(), 1)
-    joined = pairs.join(df_term, "term").join(df_entity, "entity")
-    ic = F.greatest(F.log2(F.lit(float(n)) / F.col("n_c")), F.lit(0.0))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    return joined.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    n_term = words.join(small_side(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return pairs.join(n_term, "term").where(told(F.greatest("n_t", "n_ct"))).select("entity", "term")
 
 
 def disclosed(docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, int]:

@@ -128,8 +128,10 @@ def linked_pairs(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, chun
     first = np.repeat(opens, sizes)
     levels = index_levels(first, fps)
     queries = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    if not len(queries):
+        return
     work = np.cumsum(np.repeat(sizes, sizes)[queries])
-    cuts = np.searchsorted(work, np.arange(chunk, (work[-1] if len(work) else 0) + chunk, chunk), "right")
+    cuts = np.searchsorted(work, np.arange(chunk, work[-1] + chunk, chunk), "right")
     for a, b in zip(np.r_[0, cuts[:-1]], cuts, strict=True):
         q = queries[a:b]
         if not len(q):
