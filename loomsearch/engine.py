@@ -16,6 +16,17 @@ from .plans.search import Response, search
 from .schema import QUERY_LOG
 
 
+@dataclass
+class Crawl:
+    """What one crawl did; its tables are as small as the request."""
+
+    documents: DataFrame
+    duplicates: DataFrame
+    issues: DataFrame
+    discovered: list[str]
+    counts: dict
+
+
 @dataclass
 class Job:
     job_id: str
@@ -23,15 +34,25 @@ class Job:
     status: str = "queued"
     error: str = ""
     counts: dict = field(default_factory=dict)
+    crawl: Crawl | None = None
     created_at: datetime | None = None
+    started_at: datetime | None = None
     finished_at: datetime | None = None
 
 
+#: Jobs that wait at most; a full queue works its oldest off before it takes another.
+QUEUE_DEPTH = 32
+
+
 class Engine:
-    """Searches one corpus; ``fetch`` turns urls into a DataFrame of documents."""
+    """Searches one corpus.
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, fetch=None, summarize=None, ttl_seconds: int = 120, clock=time.time) -> None:
-        self.spark, self.fetch, self.summarize, self.ttl, self.clock = spark, fetch, summarize, ttl_seconds, clock
+    ``fetch`` turns urls into a DataFrame of documents, with a column ``error``
+    where pages can fail; ``discover`` turns urls into (root, pos, url) rows.
+    """
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, fetch=None, summarize=None, ttl_seconds: int = 120, clock=time.time, discover=None) -> None:
+        self.spark, self.fetch, self.discover, self.summarize, self.ttl, self.clock = spark, fetch, discover, summarize, ttl_seconds, clock
         self.cache: dict[tuple, tuple[float, Response, int]] = {}
         self.queries: list[tuple] = []
         self.jobs: dict[str, Job] = {}
@@ -75,20 +96,36 @@ class Engine:
         row = index_stats(self.docs).first().asDict()
         return row | {"stale_documents": self.docs.where(F.col("recrawl_after") <= F.lit(self._now())).count(), "crawl_jobs": len(self.jobs), "deduplicated_urls": self.deduplicated}
 
-    def crawl(self, urls: list[str]) -> dict:
+    def expand(self, urls: list[str]) -> tuple[list[str], list[str]]:
+        """All urls to fetch, and those of them that were discovered."""
+        if self.discover is None or not urls:
+            return urls, []
+        roots = self.spark.createDataFrame([(u, k) for k, u in enumerate(dict.fromkeys(urls))], "root string, root_pos int")
+        rows = ingest.expanded(roots, self.discover(urls)).orderBy("root", "url").collect()  # 25 for each root at most
+        return [r["url"] for r in rows], [r["url"] for r in rows if r["discovered"]]
+
+    def crawl(self, urls: list[str]) -> Crawl:
         """Fetches, drops copies, upserts, and forgets cached answers."""
-        batch = self.fetch([u.strip() for u in urls if u.strip()]).withColumn("seq", F.monotonically_increasing_id()).persist()
+        urls, discovered = self.expand([u.strip() for u in urls if u.strip()])
+        fetched = self.fetch(urls)
+        if "error" not in fetched.columns:
+            fetched = fetched.withColumn("error", F.lit(None).cast("string"))
+        fetched = fetched.withColumn("seq", F.monotonically_increasing_id()).persist()
+        issues = fetched.where("error IS NOT NULL").select("url", "error")
+        batch = fetched.where("error IS NULL").drop("error")
         copies = ingest.duplicates(batch, self.docs).persist()
         new = ingest.accepted(batch, self.docs).drop("seq").persist()
-        counts = {"documents": new.count(), "duplicates": copies.count()}
+        counts = {"documents": new.count(), "duplicates": copies.count(), "issues": issues.count()}
         self.deduplicated += counts["duplicates"]
         self._use(ingest.upsert(self.docs, new))
-        return counts
+        return Crawl(new, copies, issues, discovered, counts)
 
     def enqueue(self, urls: list[str]) -> Job:
         urls = [u.strip() for u in urls if u.strip()]
         if not urls:
             raise ValueError("at least one url is needed")
+        while sum(j.status == "queued" for j in self.jobs.values()) >= QUEUE_DEPTH:
+            self.run_jobs(1)
         job = Job(f"crawl-{len(self.jobs) + 1}", urls, created_at=self._now())
         self.jobs[job.job_id] = job
         return job
@@ -97,13 +134,13 @@ class Engine:
         urls = [r["url"] for r in self.stale(limit).collect()]
         return self.enqueue(urls) if urls else None
 
-    def run_jobs(self) -> None:
+    def run_jobs(self, most: int | None = None) -> None:
         """Works the queue off in order; a job that fails says why and does not stop the next."""
-        for job in self.jobs.values():
-            if job.status == "queued":
-                job.status = "running"
-                try:
-                    job.counts, job.status = self.crawl(job.urls), "completed"
-                except Exception as e:
-                    job.status, job.error = "failed", str(e)
-                job.finished_at = self._now()
+        for job in [j for j in self.jobs.values() if j.status == "queued"][:most]:
+            job.status, job.started_at = "running", self._now()
+            try:
+                job.crawl = self.crawl(job.urls)
+                job.counts, job.status = job.crawl.counts, "completed"
+            except Exception as e:
+                job.status, job.error = "failed", str(e)
+            job.finished_at = self._now()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,14 +23,19 @@ def tokenize(text: Column) -> Column:
     return F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row: inside a lambda it would be anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, least: int, most: int) -> Column:
     """Runs of ``least`` to ``most`` tokens joined by a space, shorter ones first."""
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    def of(t: Column, n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
 
-    return F.concat(*[of(n) for n in range(least, most + 1)])
+    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(least, most + 1)]))
 
 
 def clean_space(text: Column) -> Column:
@@ -88,3 +95,17 @@ def recrawl_days(joined: Column) -> Column:
     """Days until the next visit by the words of a page."""
     low = lowered(joined)
     return F.when(low.rlike("news|latest|update|release"), 1).when(low.rlike("blog|changelog|announc"), 3).when(low.rlike("guide|docs|reference|tutorial"), 21).otherwise(7)
+
+
+def intent(query: Column) -> Column:
+    """What a query is after, by its words; the first rule that fits decides."""
+    low = F.lower(F.trim(query))
+    told = F.regexp_replace(low, '"([^"]*)"', "$1")
+    return (
+        F.when(low.rlike(r"(^|\s)site:\S"), "navigational")
+        .when(told.contains(" vs ") | told.contains("compare") | told.contains("best "), "comparison")
+        .when(told.rlike("latest|today|new |news"), "freshness")
+        .when(told.rlike("^(how|what|why|guide|tutorial) "), "informational")
+        .when(low.rlike('"[^"]*[^"\\s][^"]*"'), "precision")
+        .otherwise("exploration")
+    )

@@ -30,7 +30,7 @@ def authority(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         given = rank.where("fan is not null").select(F.col("id").alias("src"), (F.lit(DAMPING) * F.col("score") / F.col("fan")).alias("share"))
         got = given.join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         rank = nodes.join(got, "id", "left").crossJoin(F.broadcast(loose)).select("id", "fan", (F.lit((1 - DAMPING) / n) + F.lit(DAMPING / n) * F.col("loose") + F.coalesce("got", F.lit(0.0))).alias("score"))
-        if step % 3 == 2:
+        if step % 4 == 3:
             rank = cut(rank)
     top = rank.agg(F.max("score").alias("top"))
     return rank.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("authority"))

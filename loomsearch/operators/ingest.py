@@ -62,9 +62,9 @@ def recrawl_after(fetched_at: Column) -> Column:
 def expanded(roots: DataFrame, found: DataFrame, cap: int = 25) -> DataFrame:
     """(url, root, discovered): roots and what was found under them, at most ``cap`` each, the first of equal urls."""
     own = roots.select("root", "root_pos", F.lit(0).alias("pos"), F.col("root").alias("url"))
-    rows = own.unionByName(found.join(roots, "root").select("root", "root_pos", F.col("pos") + 1, "url"))
-    w = Window.partitionBy("root").orderBy("pos")
-    rows = rows.dropDuplicates(["root", "url"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
+    rows = own.unionByName(found.join(roots, "root").select("root", "root_pos", (F.col("pos") + 1).alias("pos"), "url"))
+    w = Window.partitionBy("root").orderBy("pos", "url")
+    rows = rows.groupBy("root", "root_pos", "url").agg(F.min("pos").alias("pos")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
     first = rows.groupBy("url").agg(F.min(F.struct("root_pos", "pos", "root")).alias("f"))
     return first.select("url", F.col("f.root").alias("root"), (F.col("url") != F.col("f.root")).alias("discovered"))
 

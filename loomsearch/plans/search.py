@@ -13,6 +13,7 @@ from ..operators import authority as links
 from ..operators import results as R
 from ..operators import suggest
 from ..operators.index import Index, bm25
+from .lineage import cut
 from .query import Options, Query, corrected, interpretation, parse, tokens
 
 
@@ -20,9 +21,11 @@ def ranked(index: Index, query: str, parsed: Query, as_of: Column, with_links: b
     """Documents with the query's terms, their signals and their total score; authority is taken among all of them."""
     terms = tokens(query)
     scored = bm25(index, terms).withColumnRenamed("score", "base_score")
+    if with_links:  # the link steps read the candidates several times: they are scored once
+        scored = cut(scored)
     docs = scored.join(index.docs, "id")
     if with_links:
-        rank = links.authority(docs.select("id", "url", "links"))
+        rank = links.authority(cut(docs.select("id", "url", "links")))
         docs = docs.join(rank, "id").withColumn("authority_boost", F.col("authority") * 0.5).drop("authority")
     else:
         docs = docs.withColumn("authority_boost", F.lit(0.0))

@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 WORDS = "ering tion nicht"
+TEXTS = ("title", "description", "content")
 PHRASED = '"of the" ering tion'
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
@@ -45,8 +46,14 @@ def s_tokens(x: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: len(t) >= 2 AND NOT list_contains({STOP}, t))"
 
 
-def s_ngrams(t: str, least: int, most: int) -> str:
-    return "flatten([" + ", ".join(f"list_transform(range(1, greatest(len({t}) - {n - 2}, 1)), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))" for n in range(least, most + 1)) + "])"
+def s_grams(source: str, columns: tuple[str, ...], least: int, most: int) -> str:
+    """The CTEs words, leads and grams (k, phrase): runs of tokens of each column, in any order."""
+    parts = " UNION ALL ".join(f"SELECT id, {f} AS f, {s_tokens(c)} AS t FROM {source}" for f, c in enumerate(columns))
+    after = ", ".join(f"lead(w, {n - 1}) OVER o AS w{n}" for n in range(2, most + 1))
+    runs = " UNION ALL ".join(f"SELECT k, concat_ws(' ', w, {', '.join(f'w{m}' for m in range(2, n + 1))}) AS phrase FROM leads WHERE w{n} IS NOT NULL" for n in range(least, most + 1))
+    return f"""words AS (SELECT id AS k, f, unnest(t) AS w, unnest(range(len(t))) AS i FROM ({parts})),
+leads AS (SELECT k, w, {after} FROM words WINDOW o AS (PARTITION BY k, f ORDER BY i)),
+grams AS ({runs})"""
 
 
 AS_OF = f"TIMESTAMP '{catalog.AS_OF}'"
@@ -164,17 +171,17 @@ def corpus_stats(spark, sf_dir):
     return index.corpus_stats(catalog.documents(spark, sf_dir)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@register(f"WITH {DOCS}, grams AS (SELECT unnest(list_concat({s_ngrams(s_tokens('title'), 2, 4)}, {s_ngrams(s_tokens('description'), 2, 4)}, {s_ngrams(s_tokens('content'), 2, 4)})) AS phrase FROM docs) SELECT phrase, count(*) AS freq FROM grams GROUP BY phrase")
+@register(f"WITH {DOCS}, {s_grams('docs', TEXTS, 2, 4)} SELECT phrase, count(*) AS freq FROM grams GROUP BY phrase")
 def phrase_freq(spark, sf_dir):
     return index.phrase_stats(catalog.documents(spark, sf_dir))
 
 
-@register(f"WITH {DOCS} SELECT id, unnest({s_ngrams(s_tokens('title'), 2, 3)}) AS gram FROM docs")
+@register(f"WITH {DOCS}, {s_grams('docs', ('title',), 2, 3)} SELECT k AS id, phrase AS gram FROM grams")
 def ngrams(spark, sf_dir):
     return catalog.documents(spark, sf_dir).select("id", F.explode(text.ngrams(text.tokenize(F.col("title")), 2, 3)).alias("gram"))
 
 
-@register(f"WITH {DOCS}, grams AS (SELECT unnest(list_concat({s_ngrams(s_tokens('title'), 2, 4)}, {s_ngrams(s_tokens('description'), 2, 4)}, {s_ngrams(s_tokens('content'), 2, 4)})) AS phrase FROM docs) SELECT (SELECT count(DISTINCT id) FROM docs) AS documents, (SELECT count(DISTINCT t) FROM (SELECT unnest(terms) AS t FROM docs)) AS terms, (SELECT count(DISTINCT phrase) FROM grams) AS phrases")
+@register(f"WITH {DOCS}, {s_grams('docs', TEXTS, 2, 4)} SELECT (SELECT count(DISTINCT id) FROM docs) AS documents, (SELECT count(DISTINCT t) FROM (SELECT unnest(terms) AS t FROM docs)) AS terms, (SELECT count(DISTINCT phrase) FROM grams) AS phrases")
 def index_stats(spark, sf_dir):
     return index.index_stats(catalog.documents(spark, sf_dir))
 
@@ -195,10 +202,9 @@ def bm25_repeated_term(spark, sf_dir):
 
 def s_complete(prefix: str, limit: int) -> str:
     n = len(prefix.split())
-    grams = f"grams AS (SELECT unnest(list_concat({s_ngrams(s_tokens('title'), 2, 4)}, {s_ngrams(s_tokens('description'), 2, 4)}, {s_ngrams(s_tokens('content'), 2, 4)})) AS v FROM docs)"
-    return f"""WITH {DOCS}, {grams},
+    return f"""WITH {DOCS}, {s_grams('docs', TEXTS, 2, 4)},
 both_ AS (SELECT v AS value, count(*) AS n, 1 AS words, 0 AS phrase FROM (SELECT DISTINCT id, unnest(terms) AS v FROM docs) WHERE starts_with(v, '{prefix}') GROUP BY v
-  UNION ALL SELECT v, count(*), {n}, 1 FROM grams WHERE starts_with(v, '{prefix}') AND ({n} = 1 OR len(string_split(v, ' ')) > {n}) GROUP BY v)
+  UNION ALL SELECT phrase, count(*), {n}, 1 FROM grams WHERE starts_with(phrase, '{prefix}') AND ({n} = 1 OR len(string_split(phrase, ' ')) > {n}) GROUP BY phrase)
 SELECT value, n, words FROM both_ ORDER BY words DESC, phrase {'DESC' if n > 1 else 'ASC'}, n DESC, value LIMIT {limit}"""
 
 
@@ -451,7 +457,7 @@ _WORDS_LIST = s_list(Q.tokens(WORDS))
 
 
 @register(s_results(WORDS) + f""", {s_diverse()}, {s_page()},
-grams AS (SELECT unnest(list_concat({s_ngrams(s_tokens('title'), 2, 3)}, {s_ngrams(s_tokens('description'), 2, 3)})) AS phrase FROM page)
+{s_grams('page', ('title', 'description'), 2, 3)}
 SELECT phrase, CAST(sum(2 + len(list_filter(string_split(phrase, ' '), lambda t: list_contains({_WORDS_LIST}, t)))) AS BIGINT) AS score FROM grams
 WHERE len({s_tokens('phrase')}) > 3 - 1 + CASE WHEN len(string_split('{WORDS}', ' ')) > 1 THEN 1 ELSE 0 END AND phrase <> '{WORDS}' GROUP BY phrase ORDER BY score DESC, phrase LIMIT 6""")
 def related_to_long_query(spark, sf_dir):
@@ -460,7 +466,7 @@ def related_to_long_query(spark, sf_dir):
 
 
 @register(s_results("ering") + f""", {s_diverse()}, {s_page()},
-grams AS (SELECT unnest(list_concat({s_ngrams(s_tokens('title'), 2, 3)}, {s_ngrams(s_tokens('description'), 2, 3)})) AS phrase FROM page)
+{s_grams('page', ('title', 'description'), 2, 3)}
 SELECT phrase, CAST(sum(2 + len(list_filter(string_split(phrase, ' '), lambda t: t = 'ering'))) AS BIGINT) AS score FROM grams GROUP BY phrase ORDER BY score DESC, phrase LIMIT 6""")
 def related_queries(spark, sf_dir):
     none = spark.createDataFrame([], "value string, n long, words int")
@@ -520,6 +526,19 @@ def domain_extract(spark, sf_dir):
     return p.select("page_id", text.host(F.col("url")).alias("domain"), text.file_type(F.col("url")).alias("file_type"))
 
 
+@register("""WITH found AS (SELECT url, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT DISTINCT url, CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END AS link FROM found WHERE starts_with(href, '/') OR regexp_matches(href, '^https?://')""")
+def link_extract(spark, sf_dir):
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("url", F.explode("links").alias("link"))
+
+
+@register("""WITH q AS (SELECT conv_id, turn, lower(trim(text)) AS low, regexp_replace(lower(trim(text)), '"([^"]*)"', '\\1', 'g') AS told FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(low, '(^|\\s)site:\\S') THEN 'navigational' WHEN contains(told, ' vs ') OR contains(told, 'compare') OR contains(told, 'best ') THEN 'comparison'
+  WHEN regexp_matches(told, 'latest|today|new |news') THEN 'freshness' WHEN regexp_matches(told, '^(how|what|why|guide|tutorial) ') THEN 'informational' WHEN regexp_matches(low, '"[^"]*[^"\\s][^"]*"') THEN 'precision' ELSE 'exploration' END AS intent FROM q""")
+def intent_classify(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
+
+
 @register()
 def html_extract(spark, sf_dir):
     parts = pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
