@@ -558,7 +558,7 @@ def strip_tags(spark, sf_dir):
 
 # --- log --------------------------------------------------------------------------------------------------------------
 
-S_LOG = "log AS (SELECT event_type AS query, CAST(floor(value) AS BIGINT) AS latency_ms, event_id % 3 = 0 AS cache_hit, ts AS at, event_id, user_id FROM events)"
+S_LOG = "log AS (SELECT event_type AS query, CAST(floor(value) AS BIGINT) AS latency_ms, event_id % 3 = 0 AS cache_hit, ts AS seen, event_id, user_id FROM events)"
 
 
 @register(f"WITH {S_LOG} SELECT trim(lower(query)) AS query, count(*) AS count FROM log WHERE trim(query) <> '' GROUP BY ALL ORDER BY count DESC, query LIMIT 6")
@@ -571,9 +571,9 @@ def query_log_stats(spark, sf_dir):
     return log.analytics(catalog.query_log(spark, sf_dir)).select("total_queries", "cache_hits", "cache_hit_rate", "average_ms")
 
 
-@register(f"""WITH RECURSIVE {S_LOG}, keyed AS (SELECT query || ':' || user_id AS key, at, row_number() OVER (PARTITION BY query || ':' || user_id ORDER BY at) AS n FROM log),
-walk AS (SELECT key, at, n, at AS filled, false AS hit FROM keyed WHERE n = 1
-  UNION ALL SELECT k.key, k.at, k.n, CASE WHEN epoch(k.at) - epoch(filled) <= 86400 THEN filled ELSE k.at END, epoch(k.at) - epoch(filled) <= 86400 FROM walk w JOIN keyed k ON k.key = w.key AND k.n = w.n + 1)
+@register(f"""WITH RECURSIVE {S_LOG}, keyed AS (SELECT query || ':' || user_id AS key, seen, row_number() OVER (PARTITION BY query || ':' || user_id ORDER BY seen) AS n FROM log),
+walk AS (SELECT key, seen, n, seen AS filled, false AS hit FROM keyed WHERE n = 1
+  UNION ALL SELECT k.key, k.seen, k.n, CASE WHEN epoch(k.seen) - epoch(filled) <= 86400 THEN filled ELSE k.seen END, epoch(k.seen) - epoch(filled) <= 86400 FROM walk w JOIN keyed k ON k.key = w.key AND k.n = w.n + 1)
 SELECT key, count(*) AS n, count(*) FILTER (hit) AS hits FROM walk GROUP BY key""")
 def ttl_cache_replay(spark, sf_dir):
     rows = catalog.query_log(spark, sf_dir).select(F.concat_ws(":", "query", F.col("user_id").cast("string")).alias("key"), "at")
