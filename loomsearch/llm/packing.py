@@ -32,8 +32,8 @@ from .common import read, whole_text
 CAPACITY, END_ID = 4096, 1
 #: Documents of a packing group, on average; words that a tokeniser keeps, and code points tokenised at a time.
 GROUP_DOCS, CACHE_WORDS, SLICE_CHARS = 8000, 400_000, 1 << 20
-#: Rounds of the local search in a group, at most; best-fit alone is nearly always optimal already.
-SEARCH_ROUNDS = 400
+#: Pairs of sequences that the local search looks at in a group, at most; best-fit alone is nearly always optimal already.
+SEARCH_ROUNDS = 2000
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -152,47 +152,54 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(a: list[int], b: list[int], sizes: list[int], capacity: int) -> tuple[list[int], list[int]] | None:
-    """What to take out of ``a`` and of ``b``, the fuller one, such that ``b`` gains most and still fits."""
-    room = capacity - sum(sizes[k] for k in b)
-    ones = [([k], sizes[k]) for k in a]
-    twos = [([k, m], sizes[k] + sizes[m]) for i, k in enumerate(a) for m in a[i + 1 :]]
-    back = [([], 0), *[([k], sizes[k]) for k in b]]
-    back2 = [([k, m], sizes[k] + sizes[m]) for i, k in enumerate(b) for m in b[i + 1 :]]
+def _choices(b: list[int], sizes: list[int]) -> tuple[tuple[list[tuple[int, ...]], np.ndarray], ...]:
+    """None, each one and each two of a bin's places, with their sizes."""
+    sets = ([()], [(k,) for k in b], [(k, m) for i, k in enumerate(b) for m in b[i + 1 :]])
+    return tuple((xs, np.array([sum(sizes[k] for k in x) for x in xs], np.int64)) for xs in sets)
+
+
+def _better(a: list[int], b: list[int], sizes: list[int], capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """What to take out of ``a`` and of ``b`` and put into the other, such that both fit and the squared fill grows most."""
+    fill_a, fill_b = sum(sizes[k] for k in a), sum(sizes[k] for k in b)
+    of_a, of_b = _choices(a, sizes), _choices(b, sizes)
     best, gain = None, 0
-    for out, into in ((ones, back), (twos, back[1:]), (ones, back2)):
-        for xs, x in out:
-            for ys, y in into:
-                if gain < x - y <= room:
-                    best, gain = (xs, ys), x - y
+    for m, n in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2)):
+        (xs, x), (ys, y) = of_a[m], of_b[n]
+        if not len(x) or not len(y):
+            continue
+        d = x[:, None] - y[None]  # what b gains
+        worth = np.where((d <= capacity - fill_b) & (-d <= capacity - fill_a), d * (d + fill_b - fill_a), 0)
+        at = int(worth.argmax())
+        if worth.flat[at] > gain:
+            gain, best = int(worth.flat[at]), (xs[at // len(y)], ys[at % len(y)])
     return best
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
-    """Fewer bins, if exchanges that increase the squared fill can empty some."""
+    """Fewer bins, if exchanges between two underfull ones that increase the squared fill can empty some.
+
+    The emptiest bins are tried first, each with the fullest ones first.  It
+    ends when the sum of the sizes allows no fewer bins, when no exchange
+    helps, or after ``rounds`` pairs; what is packed is whole at any time.
+    """
     fewest = -(-sum(sizes) // capacity)
     fill = lambda b: sum(sizes[k] for k in b)
-    full, open_ = [b for b in bins if fill(b) == capacity], sorted((b for b in bins if fill(b) < capacity), key=fill)
-    stuck: list[list[int]] = []
-    while open_ and rounds and len(full) + len(open_) + len(stuck) > fewest:
-        a, moved = open_[0], False
-        for b in open_[:0:-1]:
-            rounds_left = rounds
-            while a and rounds_left and (swap := _better(a, b, sizes, capacity)):
+    moved = True
+    while moved and rounds and len(bins) > fewest:
+        moved = False
+        open_ = sorted((b for b in bins if fill(b) < capacity), key=fill)
+        for a, b in ((a, b) for i, a in enumerate(open_) for b in open_[:i:-1]):
+            if not rounds:
+                break
+            rounds -= 1
+            if swap := _better(a, b, sizes, capacity):
                 xs, ys = swap
-                a[:] = [k for k in a if k not in xs] + ys
-                b[:] = [k for k in b if k not in ys] + xs
-                moved, rounds_left = True, rounds_left - 1
-            if not a:
+                a[:] = [k for k in a if k not in xs] + list(ys)
+                b[:] = [k for k in b if k not in ys] + list(xs)
+                moved = True
                 break
-        rounds -= 1
-        if not a:
-            open_.pop(0)
-        elif not moved:
-            stuck.append(open_.pop(0))
-        full += [b for b in open_ if fill(b) == capacity]
-        open_ = sorted((b for b in open_ if fill(b) < capacity), key=fill)
-    return full + open_ + stuck
+        bins = [b for b in bins if b]
+    return bins
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
