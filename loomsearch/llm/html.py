@@ -178,6 +178,7 @@ TABLE = (
     (130, 0.0, 100, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (100, 0.0, 2, 1.0, 130, 0.0, 0, 0, 0, 0, 1), (28, 0.1, 130, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 110, 0.0, 95, 0.0, 0, 0, 0, 0, 1),
     (110, 0.0, 12, 0.0, 5, 0.0, 0, 1, 0, 1, 0), (14, 0.0, 130, 0.0, 100, 0.0, 1, 1, 0, 1, 0), (65, 0.0, 9, 0.0, 90, 0.0, 0, 1, 0, 0, 0), (22, 0.0, 100, 0.0, 80, 0.0, 0, 1, 0, 0, 0),
     (35, 0.0, 20, 0.0, 35, 0.0, 0, 0, 0, 1, 0), (80, 0.0, 35, 0.0, 3, 0.0, 0, 0, 0, 1, 0), (5, 1.0, 90, 0.0, 5, 1.0, 0, 0, 0, 0, 0), (12, 1.0, 5, 1.0, 12, 1.0, 0, 0, 0, 0, 0),
+    (24, 0.0, 22, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (38, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (90, 0.02, 45, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (22, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (9, 1.0, 110, 0.0, 70, 0.0, 1, 0, 0, 1, 1), (1, 1.0, 40, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (15, 0.9, 55, 0.0, 80, 0.0, 1, 0, 0, 1, 1), (4, 0.8, 4, 1.0, 60, 0.0, 0, 0, 0, 0, 0),
 )
 
