@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import as_row, read
 
 SLOTS, CHARS, STRETCH = 64, 40_000, 2048
 #: Phrases per letter above which a text is like no learned language; text of a learned one has 0.1 to 0.35.
@@ -207,7 +207,7 @@ def keep_known(docs: DataFrame, most_phrases: float = MOST_PHRASES) -> DataFrame
     if not model.langs:
         return docs
     known = (F.col("__lang") != UNKNOWN) & (F.col("__rate") <= most_phrases)
-    return predictions(docs, model, docs.columns).where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return predictions(as_row(docs, "text"), model, ["__row"]).where(known).select("__row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

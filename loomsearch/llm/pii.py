@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, read, small_side, whole_text
+from .common import as_row, let, materialize, read, small_side, whole_text
 
 LOCAL = r"A-Za-z0-9._%+-"
 #: kind -> (pattern, a cheap test that any text with a match passes).
@@ -138,17 +138,17 @@ def disclosive(docs: DataFrame, near: DataFrame, alpha: float = ALPHA, min_conte
 
 
 def disclosed(docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, int]:
-    """Spans of disclosive terms by document key (__id, __h), and how many documents have any."""
+    """Spans of disclosive terms by document key (__id, __h), and how many there are."""
     near = materialize(occurrences(docs), "pii-near")
     told = materialize(disclosive(docs, near, alpha, min_contexts), "pii-told")
     hits = near.join(small_side(told, told.count()), ["entity", "term"], "left_semi").groupBy("__id", "__h", "start", "end").agg(F.min("term").alias("term"))
     by_doc = materialize(hits.groupBy("__id", "__h").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", F.col("term").alias("hit")))).alias("__terms")), "pii-docs")
-    return by_doc, by_doc.count()
+    return by_doc, by_doc.agg(F.sum(F.size("__terms"))).first()[0] or 0
 
 
-def mark(docs: DataFrame, by_doc: DataFrame, n_docs: int) -> DataFrame:
+def mark(docs: DataFrame, by_doc: DataFrame, n_spans: int) -> DataFrame:
     """``docs`` with __base and __terms, the spans of entities and of disclosive terms."""
-    side = small_side(by_doc.withColumnRenamed("__id", "__i").withColumnRenamed("__h", "__k"), n_docs)
+    side = small_side(by_doc.withColumnRenamed("__id", "__i").withColumnRenamed("__h", "__k"), n_spans)
     t = whole_text()
     base = F.when(t.rlike("[0-9@]"), entities(t)).otherwise(F.array().cast("array<struct<start:int,k:int,end:int,hit:string>>"))
     df = docs.withColumn("__base", base)
@@ -187,11 +187,12 @@ def redacted(text: Column, found: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with entities and disclosive terms in text generalised; n_chars follows where there is one."""
-    df = mark(docs, *disclosed(docs)).withColumn("__all", F.sort_array(F.concat("__base", "__terms")))
-    df = df.withColumn("text", F.when(F.size("__all") > 0, redacted(F.col("text"), F.col("__all"))).otherwise(F.col("text")))
+    df = mark(as_row(docs, "doc_id", "text"), *disclosed(docs)).withColumn("__all", F.sort_array(F.concat("__base", "__terms")))
+    df = df.withColumn("__new", F.when(F.size("__all") > 0, redacted(F.col("text"), F.col("__all"))).otherwise(F.col("text")))
+    new = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("__all") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, whole_text
+from .common import as_row, let, read, whole_text
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Labelled rows that a decision list is fitted on, at most; the rest of the table only gets judged.
@@ -200,7 +200,7 @@ def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     with a copy of them for each time that it names one.
     """
     keep = F.explode(F.filter(F.array(verdict(F.col("__quality"), rules)), lambda x: x))
-    return statistics(docs).select(*[F.col(f"`{c}`") for c in docs.columns], keep.alias("__keep")).drop("__keep")
+    return statistics(as_row(docs, "text")).select("__row", keep.alias("__keep")).select("__row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

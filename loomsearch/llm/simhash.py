@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, shuffle_width, small_side, whole_text
+from .common import as_row, materialize, read, shuffle_width, small_side, whole_text
 from .components import components, merge
 
 RADIUS, BLOCKS, FAN = 3, 4, 8
@@ -242,11 +242,12 @@ def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
     times = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("__n")).select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__k"), "__n")
     kept = kept.join(times, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k"))).drop("__i", "__k").distinct()
     kept = materialize(kept, "kept")
-    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text()) == F.col("__h"))
-    once = docs.join(kept.where("__n = 1"), own, "left_semi")
+    docs = as_row(docs, "doc_id", F.xxhash64(whole_text()).alias("__k"))
+    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h"))
+    once = docs.join(kept.where("__n = 1"), own, "left_semi").select("__row.*")
     if not kept.where("__n > 1").limit(1).count():
         return once
-    again = docs.join(kept.where("__n > 1"), own, "left_semi").withColumn("__h", F.xxhash64(whole_text())).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    again = docs.join(kept.where("__n > 1"), own, "left_semi").dropDuplicates(["doc_id", "__k"]).select("__row.*")
     return once.unionByName(again)
 
 
