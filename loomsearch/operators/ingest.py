@@ -34,9 +34,9 @@ def accepted(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, by: Column) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(by.desc())
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The last row of each key by ``by``, nulls first; rows are combined before the exchange, so that no key is too hot."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, F.struct(by.alias("by"))).alias("__row")).select("__row.*")
 
 
 def latest_by_fingerprint(store: DataFrame) -> DataFrame:

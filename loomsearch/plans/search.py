@@ -87,10 +87,20 @@ def search(index: Index, query: str, limit: int = 10, options: Options | None =
     shown = page.orderBy("pos").select("title", "url", "snippet").collect()  # one page
     if shown:
         snippets = [r["snippet"].strip() for r in shown if r["snippet"].strip()]
-        out.answer = (summarize or summary)(normalized, snippets[:3], out.count) | {"citations": [{"title": r["title"], "url": r["url"]} for r in shown[:3]], "related_questions": people_also_ask(normalized, [r["title"] for r in shown])}
+        out.answer = answered(normalized, snippets, out.count, summarize) | {"citations": [{"title": r["title"], "url": r["url"]} for r in shown[:3]], "related_questions": people_also_ask(normalized, [r["title"] for r in shown])}
     return out
 
 
+def answered(query: str, snippets: list[str], count: int, summarize=None) -> dict:
+    """What ``summarize`` says of the page's snippets, or the plain summary without one or when it fails."""
+    if summarize is not None:
+        try:
+            return summarize(query, snippets, count)
+        except Exception:  # a service of others: the answer does not depend on it
+            return summary(query, snippets, count) | {"generated": False}
+    return summary(query, snippets, count)
+
+
 def summary(query: str, points: list[str], count: int) -> dict:
     """A summary that quotes the first points."""
     points = [p.strip() for p in points if p.strip()][:3]

@@ -83,6 +83,9 @@ def test_duplicates_and_first_in_batch(spark):
 def test_upsert_keeps_the_last(spark):
     rows = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("m", 1, "only")], "k string, seq int, v string")
     assert values(ingest.latest(rows, "k", F.col("seq")), "k", "v") == [("k", "new"), ("m", "only")]
+    nulls = spark.createDataFrame([("k", None, "undated"), ("k", 1, "dated"), (None, None, "no key")], "k string, seq int, v string")
+    got = ingest.latest(nulls, "k", F.col("seq"))
+    assert got.columns == ["k", "seq", "v"] and sorted(r["v"] for r in got.collect()) == ["dated", "no key"]
 
 
 def test_blocked_by_robots(spark):

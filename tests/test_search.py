@@ -1,3 +1,4 @@
+import json
 from datetime import timedelta
 
 import pytest
@@ -7,7 +8,8 @@ from loomsearch.engine import Engine
 from loomsearch.operators import authority, results
 from loomsearch.operators.index import Index
 from loomsearch.plans.query import Options
-from loomsearch.plans.search import search
+from loomsearch.plans.search import answered, search
+from loomsearch.sources.summaries import remote
 
 from .fixtures import NOW, doc, frame
 
@@ -151,6 +153,33 @@ def test_engine_caches_crawls_and_recrawls(spark):
     assert job.status == "failed" and "division" in job.error
 
 
+def test_summaries_and_their_fallback():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            broken = seen[-1]["query"] == "bad"
+            self.send_response(500 if broken else 200)
+            self.end_headers()
+            self.wfile.write(b"" if broken else json.dumps({"query": "q", "summary": "said", "grounded_points": ["a"]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = remote(f"http://127.0.0.1:{server.server_port}/")
+    assert answered("q", ["a", "b", "c", "d"], 9, ask) == {"query": "q", "summary": "said", "grounded_points": ["a"], "generated": True} and seen[0]["snippets"] == ["a", "b", "c", "d"]
+    fallen = answered("bad", ["a", " ", "b"], 9, ask)
+    server.shutdown()
+    assert fallen["grounded_points"] == ["a", "b"] and not fallen["generated"]
+    assert answered("q", [], 0)["summary"].startswith("No grounded") and answered("q", ["a"], 1)["generated"]
+
+
 def test_paging_partitions_the_list(spark):
     out = run(spark, [doc(f"d{i:02}", "search " + "word " * i, LONG, url=f"https://s{i}.org/") for i in range(7)], "search", 7)
     pages = [[r["id"] for r in results.page(out.rows, Options(offset=k), 3).orderBy("pos").collect()] for k in range(0, 9, 3)]
