@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from .common import read, whole_text
 
 CAPACITY, END_ID = 4096, 1
 #: Documents of a packing group, on average; words that a tokeniser keeps, and code points tokenised at a time.
-GROUP_DOCS, CACHE_WORDS, SLICE_CHARS = 8000, 400_000, 1 << 20
+GROUP_DOCS, CACHE_WORDS, SLICE_CHARS = 8000, 300_000, 1 << 20
 #: Pairs of sequences that the local search looks at in a group, at most; best-fit alone is nearly always optimal already.
 SEARCH_ROUNDS = 2000
 
@@ -39,6 +41,43 @@ SEARCH_ROUNDS = 2000
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
+class WordIds(dict):
+    """Ids of lower-case words as bytes; a word is tokenised when it is first asked for.
+
+    ``old`` holds the words of the generation before, so that at most twice
+    ``CACHE_WORDS`` are kept and frequent ones stay.
+    """
+
+    def __init__(self, tokenize, parts) -> None:
+        self.tokenize, self.parts, self.old = tokenize, parts, {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.visible = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}  # how byte-level vocabularies spell bytes
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            if w.isalpha():
+                ids = self.of_part(w)
+            elif w[:-1].isalpha():  # a word and one mark or digit
+                ids = self[w[:-1]] + self[w[-1]]
+            else:
+                parts = self.parts(w)
+                ids = self.of_part(w) if len(parts) == 1 else b"".join([self[p] for p in parts])
+        self[w] = ids
+        return ids
+
+    def of_part(self, part: str) -> bytes:
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.visible)
+        ids = [t.id for t in self.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordTokens:
     """The ids of a word-level BPE file, remembering words; texts with unusual code points go to the tokeniser whole."""
 
@@ -48,44 +87,30 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.unusual = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u024f\u0370-\u0377\u037b-\u037d\u0384-\u0386\u0388-\u038a\u038e-\u03a1\u03a3-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac]|<\|").search
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in plain]
-        self.visible = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}  # how byte-level vocabularies spell bytes
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words - new}
-        known, tokenize = self.known, self.exact.model.tokenize
-        for w in new:
-            out = []
-            for part in self.parts(w):
-                ids = known.get(part)
-                if ids is None:
-                    ids = known[part] = np.array([t.id for t in tokenize(part.encode().decode("latin-1").translate(self.visible))], "<u4").tobytes()
-                out.append(ids)
-            known[w] = b"".join(out)
+        self.known = WordIds(self.exact.model.tokenize, parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         import unicodedata
 
-        out: list[bytes | None] = [None] * len(texts)
-        split = []
-        for k, t in enumerate(texts):
+        out, ids_of = [], self.known.__getitem__
+        for t in texts:
             if self.unusual(t):
-                out[k] = np.asarray(self.exact.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                out.append(np.asarray(self.exact.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             else:  # no match of the pattern holds white space, so that words between spaces can be done one by one
-                split.append((k, unicodedata.normalize("NFC", t).replace("Σ", "σ").lower().split()))
-        self._learn({w for _, words in split for w in words})
-        for k, words in split:
-            out[k] = b"".join(map(self.known.__getitem__, words))
+                out.append(b"".join(map(ids_of, unicodedata.normalize("NFC", t).replace("Σ", "σ").lower().split())))
+        self.known.age()
         return out
 
 
+@cache
+def encoder_of(path: str) -> WordTokens:
+    """One for each worker process, which its tasks share."""
+    return WordTokens(path)
+
+
 def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Consecutive runs of whole texts of about ``chars`` code points."""
     part, size = [], 0
@@ -103,7 +128,7 @@ def pieces(docs: DataFrame, path: str, groups: int, capacity: int = CAPACITY) ->
     """(doc_id, piece, start, length, ids_crc32, grp) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens(path)
+        encoder = encoder_of(path)
         turn = TaskContext.get().partitionId()  # the same in every attempt, so that a repeated task deals alike
         for b in batches:
             texts, at, rows = b.column(1).to_pylist(), 0, ([], [], [], [], [], [])
