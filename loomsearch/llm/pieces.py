@@ -24,6 +24,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from os.path import commonprefix
 
 import numpy as np
@@ -35,7 +36,8 @@ from .common import read, whole_text
 from .packing import slices, vocabulary_path
 
 MARK = "▁"
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+#: Words and pairs of pieces that are remembered, and code points whose words are sorted together.
+CACHE_WORDS, CACHE_PAIRS, SLICE_CHARS = 300_000, 1_000_000, 1 << 22
 
 
 def read_model(path: str) -> list[tuple[str, float, int]]:
@@ -59,12 +61,14 @@ class Pieces:
         self.coded = {p: k.to_bytes(4, "little") for k, (p, _, kind) in enumerate(model) if kind == 1}
         self.byte = {int(p[3:5], 16): k.to_bytes(4, "little") for k, (p, _, kind) in enumerate(model) if kind == 6}
         self.letters = {p for p in self.score if len(p) == 1}
-        self.plain = re.compile("[" + re.escape("".join(sorted(self.letters - {MARK}))) + "]*").fullmatch
+        letters = re.escape("".join(sorted(self.letters - {MARK})))
+        self.plain, self.cut = re.compile(f"[{letters}]*").fullmatch, re.compile(f"([^{letters}])").split
         self.surface = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind == 1 else b"" for p, _, kind in model]
-        self.endings = {p[k:] for p in self.score for k in range(len(p))}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.before: dict[str, dict[str, bool] | None] = {}
+        self.n_pairs = 0
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of ``text`` in the order of their scores, leftmost first among equals."""
@@ -88,35 +92,40 @@ class Pieces:
             offer(a, right[a])
         return [p for p in part if p]
 
-    def _follows(self, u: str, t: str) -> bool:
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        ok = self.pairs[u, t] = self.merged(u + t) == [u, t]
-        return ok
+    def _stands(self, t: str) -> dict[str, bool] | None:
+        """What is known of pieces before ``t``; None if ``t`` is no piece that merging gives."""
+        out = self.before[t] = {} if t in self.score and self.merged(t) == [t] else None
+        return out
 
-    def _stands(self, t: str) -> bool:
-        ok = self.whole[t] = t in self.score and self.merged(t) == [t]
+    def _follows(self, u: str, t: str) -> bool:
+        if self.n_pairs >= CACHE_PAIRS:
+            for known in self.before.values():
+                if known:
+                    known.clear()
+            self.n_pairs = 0
+        ok = self.before[t][u] = self.merged(u + t) == [u, t]
+        self.n_pairs += 1
         return ok
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of sorted words made of known letters, sharing the states of common prefixes."""
         last: list[str] = [""]  # by prefix length, its last piece
-        before, endings, whole, pairs = "", self.endings, self.whole, self.pairs
+        before, known = "", self.before
         for w in words:
             same = len(commonprefix((before, w)))
             del last[same + 1 :]
             for end in range(same + 1, len(w) + 1):
-                for start in range(end - 1, -1, -1):
+                for start in range(end - 1, -1, -1):  # some start has a piece, so that only endings of pieces are looked up
                     t = w[start:end]
-                    if t not in endings:
-                        raise AssertionError(f"no segmentation of {w[:end]!r}")
-                    if not (whole[t] if t in whole else self._stands(t)):
+                    ahead = known[t] if t in known else self._stands(t)
+                    if ahead is None:
                         continue
-                    if start and (ok := pairs.get((last[start], t))) is None:
-                        ok = self._follows(last[start], t)
-                    if not start or ok:
+                    u = last[start]
+                    if not start or (ahead[u] if u in ahead else self._follows(u, t)):
                         last.append(t)
                         break
+                else:
+                    raise AssertionError(f"no segmentation of {w[:end]!r}")
             before, out, end = w, [], len(w)
             while end:
                 out.append(last[end])
@@ -130,28 +139,54 @@ class Pieces:
             return b"".join([self.coded[p] if p in self.coded else b"".join([self.byte[x] for x in p.encode("utf-8", "surrogatepass")]) for p in parts])
 
     def _learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {u: self.known[u] for u in units if u in self.known}
-        ordinary, odd = [], []
-        for u in new:
-            (ordinary if u[:1] == MARK and u[1:2] != MARK and self.plain(u, 1) else odd).append(u)
-        for u in odd:
-            self.known[u] = self._as_bytes(self.merged(u))
-        for u, parts in self.walk(sorted(ordinary)):
-            self.known[u] = self._as_bytes(parts)
+        """Fills ``known``, by units without their first mark; ``old`` keeps the generation before, so that frequent words stay.
+
+        No piece holds a code point that the vocabulary lacks, so that a unit is
+        cut there and its parts are merged on their own.
+        """
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old, self.inner = {}, self.known, {}
+        known, inner, old, fresh, cut = self.known, self.inner, self.old, set(), []
+        for u in units.difference(known):
+            if (ids := old.get(u)) is not None:
+                known[u] = ids
+            elif MARK in u:
+                known[u] = self._as_bytes(self.merged(MARK + u))
+            elif self.plain(u):
+                fresh.add(MARK + u)
+            else:
+                first, *rest = self.cut(u)
+                cut.append((u, first, rest))
+                if first not in known:
+                    fresh.add(MARK + first)
+                for lacked, part in zip(rest[::2], rest[1::2], strict=True):
+                    inner[lacked] = self._as_bytes([lacked])
+                    if part and part not in inner:
+                        fresh.add(part)
+        for w, parts in self.walk(sorted(fresh)):
+            ids = self._as_bytes(parts)
+            if w[0] == MARK:
+                known[w[1:]] = ids
+            else:
+                inner[w] = ids
+        inner[""] = b""
+        for u, first, rest in cut:
+            known[u] = known[first] + b"".join([inner[x] for x in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = []
+        split, units = [], set()
         for t in texts:
-            marked = (MARK + t.replace(" ", MARK)) if t else ""
-            units = [MARK + u for u in marked.split(MARK)[1:]] if marked else []
-            if MARK in units[:-1] or MARK + MARK in marked:  # several marks: they belong to the word after them
-                units = re.findall(f"{MARK}+[^{MARK}]*", marked)
-            split.append(units)
-        self._learn({u for units in split for u in units})
-        return [b"".join(map(self.known.__getitem__, units)) for units in split]
+            if not t:
+                words = []
+            elif MARK in t or "  " in t or t[0] == " ":  # several marks: they belong to the word after them
+                words = [u[1:] for u in re.findall(f"{MARK}+[^{MARK}]*", MARK + t.replace(" ", MARK))]
+            else:
+                words = t.split(" ")
+            split.append(words)
+            units.update(words)
+        self._learn(units)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
@@ -159,13 +194,19 @@ class Pieces:
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
+@cache
+def codec_of(path: str) -> Pieces:
+    """One for each worker process: its tasks share the words and pairs that it has learned."""
+    return Pieces(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the ids of each row as little-endian unsigned 32-bit binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Pieces(path)
+        codec = codec_of(path)
         for b in batches:
-            ids = [x for part in slices(b.column(1).to_pylist()) for x in codec.encode(part)]
+            ids = [x for part in slices(b.column(1).to_pylist(), SLICE_CHARS) for x in codec.encode(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -176,7 +217,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from the rows of ``encoded``; null ids give the empty string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Pieces(path)
+        codec = codec_of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -188,10 +229,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, n_chars of the decoded text, and whether it equals the text, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Pieces(path)
+        codec = codec_of(path)
         for b in batches:
             rows = []
-            for part in slices(b.column(1).to_pylist()):
+            for part in slices(b.column(1).to_pylist(), SLICE_CHARS):
                 for t, ids in zip(part, codec.encode(part), strict=True):
                     back = codec.decode(ids)
                     rows.append((len(ids) // 4, zlib.crc32(ids), len(back), back == t))
