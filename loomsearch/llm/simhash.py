@@ -230,7 +230,8 @@ def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
     rows = materialize(cluster(docs, size), "clusters")
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join has exchanges of its own, of which a very large component's can be split
+    ids = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
     return rows.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
