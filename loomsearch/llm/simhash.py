@@ -237,7 +237,12 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, one for each; of repeated rows, one."""
-    rows = materialize(cluster(docs, size), "clusters")
+    return keep_least(docs, cluster(docs, size))
+
+
+def keep_least(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``clusters`` (doc_id, text_hash, root): the one with the smallest doc_id."""
+    rows = materialize(clusters, "clusters")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))).alias("b")
     kept = rows.groupBy("root").agg(best).select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__h"))
     times = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("__n")).select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__k"), "__n")
