@@ -18,7 +18,6 @@ SKIPPED = frozenset("script style noscript svg canvas iframe nav footer aside fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LIST_ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}, "dd": {"dt", "dd"}, "dt": {"dt", "dd"}}
 PARTS = "title string, description string, canonical string, content string, headings array<string>, links array<string>"
-PAGE_BYTES = 2 << 20
 
 
 def absolute(base: str, ref: str, keep_fragment: bool = False) -> str:
@@ -86,7 +85,7 @@ class Parts(HTMLParser):
 def parts_of(html: str | None, url: str | None) -> tuple:
     p = Parts(url or "")
     try:
-        p.feed((html or "").encode()[:PAGE_BYTES].decode("utf-8", "ignore"))
+        p.feed((html or "").encode(errors="ignore").decode())
         p.close()
     except (AssertionError, ValueError):
         pass

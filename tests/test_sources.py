@@ -23,6 +23,12 @@ def test_extraction(spark):
     assert all(e["title"] == "" and e["links"] == [] for e in empty)
 
 
+def test_long_pages_are_read_to_their_end():
+    html = "<p>" + "word " * 500_000 + "</p><h2>Last head</h2><p>closing words <a href='/end'>end</a></p>"
+    title, *_, content, headings, links = pages.parts_of(html, "https://e.org/")
+    assert headings == ["Last head"] and links == ["https://e.org/end"] and content.endswith("end") and "closing words" in content
+
+
 def test_page_documents(spark):
     df = spark.createDataFrame([("https://Example.com/dir/page", PAGE), ("https://e.org/x", "<p>no title</p>")], "url string, html string")
     a, b = pages.documents(df, F.lit(NOW)).orderBy(F.desc("title")).collect()
