@@ -9,7 +9,9 @@ only the candidates are verified with the expression.  Rules from which no
 trigram follows scan every text.
 
 Defined results: a null text counts as empty, with no spans and the digest of
-an empty list; repeated rows are each scanned; other columns are ignored.
+an empty list; a very long text is indexed and scanned whole, as a block of its
+own; spans that start at one place stand in the order of the rules; repeated
+rows are each scanned; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -175,10 +177,12 @@ class Index:
         code <<= 8
         code |= block[2:]
         hits = np.flatnonzero(self.wanted[code])
+        if not len(hits):
+            return
         owner, code = np.searchsorted(ends, hits, "right"), code[hits]
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
-        cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, int)
+        cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         for a, b in zip(cut, np.r_[cut[1:], len(code)], strict=True):
             self.postings[int(code[a])] = np.unique(owner[a:b])
 

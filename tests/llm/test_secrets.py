@@ -77,3 +77,18 @@ def test_index_finds_every_text_that_matches():
         assert {k for k, t in enumerate(texts) if any(map(rule.good, pattern.finditer(t)))} <= hits
     scanner.index.add([])
     assert len(scanner.index.find(b"abc")) == 0
+
+
+def test_blocks_without_any_trigram_that_is_asked_for():
+    scanner = secrets.Scanner()
+    for texts in (["zzz zzz"], ["abc"], ["1234"], ["the"], [""], ["", "ab", "zz zz"]):
+        assert scanner.scan(texts) == [[] for _ in texts]
+        assert len(scanner.index.find(b"abc")) == 0
+    hit = "token=abcdef"
+    assert scanner.scan([hit])[0] and scanner.scan(["zzz"]) == [[]] and scanner.scan(["zzz", hit])[1]
+
+
+def test_last_slice_without_hits(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "slices", lambda texts: ([t] for t in texts))
+    docs = documents(spark, "token=abcdef", "zzz zzz", "the", "f" * 24, "1234").coalesce(1)
+    check(docs.select("doc_id", "text").join(secrets.scanned(docs), "doc_id").collect())
