@@ -39,9 +39,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """The folder that driver and executors share; on one machine, a temporary one where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomsearch-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -68,6 +70,23 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables in the shared folder that are removed together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` rows: the session's width, or more so that no task holds over ``per_task``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task), 1)

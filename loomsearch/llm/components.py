@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, stored
 
 
 def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -44,11 +44,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-    links = materialize(links, "links")
+    links, last = stored(links, "links")
     before = tuple(links.agg(*mark).first())
     while before[0]:
-        links = materialize(_stars(links), "stars")
-        now = tuple(links.agg(*mark).first())
+        links, path = stored(_stars(links), "stars")
+        discard(links.sparkSession, last)
+        now, last = tuple(links.agg(*mark).first()), path
         if now == before:
             break
         before = now

@@ -1,32 +1,50 @@
 """Personal data: patterns with checks, and terms that give protected entities away.
 
-Base entities are found by pattern.  Terms near them are then weighed with
-corpus statistics: for an entity c and a term t seen close to it,
+Base entities are found by pattern.  What a term gives away is estimated from
+the corpus.  For an entity c and a term t,
 
     PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t)))      IC(c) = log2(N / n(c))
 
-where N, n(c) and n(t) count documents and n(c, t) counts distinct contexts,
-so that copies of one passage count once.  A term tells too much about the
-entity when PMI >= ``ALPHA`` * IC and at least ``MIN_CONTEXTS`` different
-contexts show the pair.  Such terms are spans of kind ``term``, and
-``sanitise`` replaces them by a general class, as it does with entities.
-
-Everything is column expressions.  Positions come from the pieces between
-matches, whose lengths add up; the patterns are written with possessive
-repeats and look-behinds that skip only starts from which a match would have
-begun earlier, so that no text makes them slow.
-
-Defined results: a null text counts as empty and has no spans; a row with a
-null doc_id is processed like any other; repeated rows each get the same
-result; other columns are ignored, or kept as they are by ``sanitise``.
+where N, n(c), n(t) and n(c, t) all count documents: all of them, those with
+the entity, with the term, and with both.  Every letter run of two or more code
+points in a whole document is a term of it.  An entity is an exact value, and
+also the wider one that it belongs to: an address's domain, a network, a card
+issuer, a number's region.  A term tells too much when
+
+    PMI(c; t) >= ALPHA * IC(c)
+
+and when chance does not explain that the two meet so often: the tail of a
+Poisson distribution with mean E = n(c) * n(t) / N, by its bound
+exp(n(c, t) - E) * (E / n(c, t)) ** n(c, t), is at most ``LEVEL`` divided by the
+number of terms in the documents of the entity.  One document alone never
+passes that test, at any size.  In the documents that hold the entity, every
+occurrence of such a term outside of base entities is a span of kind ``term``,
+and ``sanitise`` replaces it by a general class, as it does with entities.
+
+Everything is column expressions.  Entity texts that are copies are examined
+once, with their number.  Entities that occur in the same documents have the
+same terms, so that they are counted as one class, however many a document
+lists.  Terms that could not pass even if they occurred nowhere else need no
+count over all words.  Positions come from the pieces between matches, whose
+lengths add up; the patterns are written with possessive repeats and
+look-behinds that skip only starts from which a match would have begun
+earlier, so that no text makes them slow.
+
+Defined results: a null text counts as empty and has no spans; a very long text
+is searched whole; spans that start at one place stand in the order of the
+kinds, a term last; a row with a null doc_id is processed like any other;
+repeated rows count as documents and each get the same result; no rows give no
+rows; other columns are ignored, or kept as they are by ``sanitise``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, let, materialize, read, small_side, whole_text
+from .common import Scratch, as_row, let, materialize, read, small_side, whole_text
 
 LOCAL = r"A-Za-z0-9._%+-"
 #: kind -> (pattern, a cheap test that any text with a match passes).
@@ -37,14 +55,15 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]")),
 }
 KINDS = tuple(PATTERNS)
-#: Code points and words looked at on each side of an entity; contexts and share of information that make a term disclosive.
-REACH, NEAR_WORDS, MIN_CONTEXTS, ALPHA = 96, 6, 3, 0.8
-WORD = r"[\p{L}][\p{L}\p{M}]++"
+#: Share of an entity's information that makes a term disclosive, and chance terms for each entity.
+ALPHA, LEVEL = 0.8, 0.05
+#: Letter runs; ``TERM`` finds those that are terms, ``NO_TERM`` what is between runs.
+TERM, NO_TERM = r"[\p{L}\p{M}]{2,}+", r"[^\p{L}\p{M}]+"
 SPAN = "struct<start:int,end:int,hit:string>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """(start, end, hit) of every match, leftmost and non-overlapping, in code points."""
+def spans(text: Column, pattern: str, wanted: Callable[[Column], Column] = lambda hit: F.lit(True)) -> Column:
+    """(start, end, hit) of every wanted match, leftmost and non-overlapping, in code points."""
 
     def place(hits: Column, gaps: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
@@ -52,7 +71,8 @@ def spans(text: Column, pattern: str) -> Column:
         def step(acc: Column, pair: Column) -> Column:
             start = acc["at"] + F.length(pair["gap"])
             end = start + F.length(pair["hit"])
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))).alias("out"))
+            longer = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))
+            return F.struct(end.alias("at"), F.when(wanted(pair["hit"]), longer).otherwise(acc["out"]).alias("out"))
 
         pairs = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(gaps, i).alias("gap")))
         return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
@@ -90,71 +110,98 @@ def entities(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-def _near(text: Column, e: Column) -> Column:
-    """Words close to entity ``e`` as (start, end, term); words cut by the window's edge or inside it are left out."""
-    left_at = F.greatest(e["start"] - REACH, F.lit(0))
-    left = F.substring(text, left_at + 1, e["start"] - left_at)
-    right = F.substring(text, e["end"] + 1, F.lit(REACH))
-    before = F.filter(spans(left, WORD), lambda s: ((s["start"] > 0) | (left_at == 0)) & (s["end"] < F.length(left)))
-    after = F.filter(spans(right, WORD), lambda s: (s["start"] > 0) & ((s["end"] < REACH) | (F.length(right) < REACH)))
-    shift = lambda hits, by: F.transform(hits, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), F.lower(s["hit"]).alias("term")))
-    before = let(before, lambda x: F.slice(x, F.greatest(F.size(x) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)))
-    return F.concat(shift(before, left_at), shift(F.slice(after, 1, NEAR_WORDS), e["end"]))
+# --- terms ------------------------------------------------------------------------------------------------------------
+
 
+def _hash() -> Column:
+    return F.xxhash64(whole_text())
 
-def _key() -> list[Column]:
-    return [F.col("doc_id").alias("__id"), F.xxhash64(whole_text()).alias("__h")]
 
+def _entity_keys(e: Column) -> Column:
+    """The exact and the wider entity of a base span."""
+    hit, digits = F.lower(e["hit"]), _digits(e["hit"])
+    wider = F.when(e["k"] == 0, F.concat(F.lit("0@"), F.substring_index(hit, "@", -1))).when(e["k"] == 1, F.concat(F.lit("1/"), F.substring_index(hit, ".", 3)))
+    wider = wider.when(e["k"] == 2, F.concat(F.lit("2#"), F.substring(digits, 1, 6))).otherwise(F.concat(F.lit("3+"), F.substring(digits, F.lit(1), F.length(digits) - 7)))
+    return F.array(F.concat(e["k"].cast("string"), F.lit(":"), F.when(e["k"] < 2, hit).otherwise(digits)), wider)
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each term near each entity: document key, entity, context, term and place."""
+
+def terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), NO_TERM), lambda w: F.length(w) >= 2))
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(h, times, keys, terms) of each different text with an entity: its copies, entities and terms."""
     t = whole_text()
-    df = docs.select(*_key(), t.alias("__t")).where(F.col("__t").rlike("[0-9@]")).withColumn("__e", entities(F.col("__t")))
-    df = df.where(F.size("__e") > 0)
-    inside = lambda s: F.exists("__e", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"]))
-    df = df.select("__id", "__h", "__t", "__e", F.explode("__e").alias("e"))
-    df = df.select("__id", "__h", F.concat_ws(":", F.col("e.k").cast("string"), F.lower("e.hit")).alias("entity"), F.filter(_near(F.col("__t"), F.col("e")), lambda s: ~inside(s)).alias("near"))
-    context = F.xxhash64(F.array_join(F.transform("near", lambda s: s["term"]), " "))
-    return df.withColumn("context", context).select("__id", "__h", "entity", "context", F.explode("near").alias("s")).select("__id", "__h", "entity", "context", "s.term", "s.start", "s.end")
-
-
-def disclosive(docs: DataFrame, near: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term) pairs whose pointwise mutual information reaches ``alpha`` of the entity's information."""
-    n = float(max(docs.count(), 1))
-    told = lambda n_t: F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * n_t)) >= alpha * F.log2(F.lit(n) / F.col("n_c"))
-    keys = ["__id", "__h"]
-    by_entity = near.select("entity", *keys).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") < n)
-    by_term = near.select("term", *keys).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_contexts)
-    # a term occurs in no fewer documents than it does near entities: pairs that fall short with that number need no count over all words
-    pairs = materialize(pairs.join(by_entity, "entity").join(by_term, "term").where(told(F.greatest("n_near", "n_ct"))), "pii-pairs")
-    terms = materialize(pairs.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("entity", "term")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole_text()), r"[^\p{L}\p{M}]+"))).alias("term"))
-    n_term = words.join(small_side(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return pairs.join(n_term, "term").where(told(F.greatest("n_t", "n_ct"))).select("entity", "term")
-
-
-def disclosed(docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, int]:
-    """Spans of disclosive terms by document key (__id, __h), and how many there are."""
-    near = materialize(occurrences(docs), "pii-near")
-    told = materialize(disclosive(docs, near, alpha, min_contexts), "pii-told")
-    hits = near.join(small_side(told, told.count()), ["entity", "term"], "left_semi").groupBy("__id", "__h", "start", "end").agg(F.min("term").alias("term"))
-    by_doc = materialize(hits.groupBy("__id", "__h").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", F.col("term").alias("hit")))).alias("__terms")), "pii-docs")
-    return by_doc, by_doc.agg(F.sum(F.size("__terms"))).first()[0] or 0
-
-
-def mark(docs: DataFrame, by_doc: DataFrame, n_spans: int) -> DataFrame:
+    some = F.explode(F.filter(F.array(entities(F.col("t"))), lambda e: F.size(e) > 0))  # a filter on the entities would find them once more
+    found = docs.select(t.alias("t")).where(F.col("t").rlike("[0-9@]")).select("t", some.alias("e"))
+    keys = F.array_distinct(F.flatten(F.transform("e", _entity_keys)))
+    found = found.select(F.xxhash64("t").alias("h"), keys.alias("keys"), terms(F.col("t")).alias("terms"))
+    return found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"), F.first("terms").alias("terms"))
+
+
+def _too_much(n: float, n_t: Column, alpha: float, level: float) -> Column:
+    """Whether ``n_ct`` meetings of an entity in ``n_c`` documents and a term in ``n_t`` tell too much."""
+    n_c, n_ct, tests = F.col("n_c"), F.col("n_ct"), F.greatest(F.col("tests"), F.lit(1))
+    chance = n_c * n_t / F.lit(n)
+    informs = F.log2(F.lit(n) * n_ct / (n_c * n_t)) >= alpha * F.log2(F.lit(n) / n_c)
+    return informs & (n_ct > chance) & (n_ct * F.ln(n_ct / chance) - n_ct + chance >= F.ln(tests / F.lit(level)))
+
+
+def entity_classes(found: DataFrame, n: float, scratch: Scratch) -> DataFrame:
+    """(h, class, n_c): the classes of entities with the same documents, in each text; without those of one document or of all."""
+    each = found.select("h", "times", F.explode("keys").alias("key"))
+    where = F.struct(F.sum("times").alias("n_c"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).alias("w")
+    keys = each.groupBy("key").agg(where).where((F.col("w.n_c") > 1) & (F.col("w.n_c") < n))
+    keys = scratch.keep(keys.select("key", F.xxhash64("w").alias("class"), "w.n_c"), "pii-entities")
+    return each.join(small_side(keys, keys.count()), "key").select("h", "class", "n_c").distinct()
+
+
+def disclosive(docs: DataFrame, n: float, found: DataFrame, classes: DataFrame, scratch: Scratch, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
+    """(class, term) pairs in which the term tells too much of the entities; ``n`` is the number of documents."""
+    tests = classes.join(found.select("h", F.size("terms").alias("m")), "h").groupBy("class").agg(F.sum("m").alias("tests"))
+    met = classes.join(found, "h").select("class", "n_c", "times", F.explode("terms").alias("term"))
+    met = met.groupBy("class", "n_c", "term").agg(F.sum("times").alias("n_ct")).where(F.col("n_ct") > 1).join(tests, "class")
+    # a term occurs in no fewer documents than it does in those with entities: what falls short with that number needs no count over all words
+    met = met.where(_too_much(n, F.col("n_ct"), alpha, level))
+    near = found.select("times", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("times").alias("n_near"))
+    met = scratch.keep(met.join(near, "term").where(_too_much(n, F.col("n_near"), alpha, level)).drop("n_near"), "pii-pairs")
+    asked = scratch.keep(met.select("term").distinct(), "pii-terms")
+    n_asked = asked.count()
+    if not n_asked:
+        return met.select("class", "term")
+    words = docs.select(F.explode(terms(whole_text())).alias("term"))
+    n_t = words.join(small_side(asked, n_asked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return met.join(n_t, "term").where(_too_much(n, F.col("n_t"), alpha, level)).select("class", "term")
+
+
+def disclosed(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> tuple[DataFrame, int]:
+    """(h, terms): the disclosive terms of each text that has some, and how many there are."""
+    scratch, n = Scratch(docs.sparkSession), float(docs.count())
+    found = scratch.keep(entity_texts(docs), "pii-texts")
+    classes = scratch.keep(entity_classes(found, n, scratch), "pii-classes")
+    told = scratch.keep(disclosive(docs, n, found, classes, scratch, alpha, level), "pii-told")
+    n_told = told.count()
+    each = classes.join(small_side(told.select("class").distinct(), n_told), "class", "left_semi").join(found, "h").select("h", "class", F.explode("terms").alias("term"))
+    each = each.join(small_side(told, n_told), ["class", "term"], "left_semi")
+    by_text = materialize(each.groupBy("h").agg(F.collect_set("term").alias("__told")), "pii-by-text")
+    scratch.drop()
+    return by_text, by_text.agg(F.sum(F.size("__told"))).first()[0] or 0
+
+
+def term_spans(text: Column, told: Column, base: Column) -> Column:
+    """Spans of the terms ``told`` in ``text`` that meet no base span."""
+    hits = spans(text, TERM, lambda hit: F.array_contains(told, F.lower(hit)))
+    apart = F.filter(hits, lambda s: ~F.exists(base, lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
+    return F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("k"), s["end"].alias("end"), s["hit"].alias("hit")))
+
+
+def mark(docs: DataFrame, by_text: DataFrame, n_terms: int) -> DataFrame:
     """``docs`` with __base and __terms, the spans of entities and of disclosive terms."""
-    side = small_side(by_doc.withColumnRenamed("__id", "__i").withColumnRenamed("__h", "__k"), n_spans)
-    t = whole_text()
-    base = F.when(t.rlike("[0-9@]"), entities(t)).otherwise(F.array().cast("array<struct<start:int,k:int,end:int,hit:string>>"))
-    df = docs.withColumn("__base", base)
-    df = df.join(side, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64(t) == F.col("__k")), "left").drop("__i", "__k")
-    empty = F.array().cast("array<struct<start:int,k:int,end:int,hit:string>>")
-    return df.withColumn("__terms", F.coalesce("__terms", empty))
+    t, none = whole_text(), F.array().cast("array<struct<start:int,k:int,end:int,hit:string>>")
+    df = docs.withColumn("__base", F.when(t.rlike("[0-9@]"), entities(t)).otherwise(none))
+    df = df.join(small_side(by_text.withColumnRenamed("h", "__k"), n_terms), _hash() == F.col("__k"), "left").drop("__k")
+    return df.withColumn("__terms", F.when(F.col("__told").isNotNull(), term_spans(t, F.col("__told"), F.col("__base"))).otherwise(none)).drop("__told")
 
 
 def listed(found: Column) -> Column:

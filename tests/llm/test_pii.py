@@ -1,6 +1,10 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from loomsearch.llm import pii
@@ -56,43 +60,81 @@ def test_query_against_brute_force(spark):
     check(docs.select("doc_id", "text").join(pii.op3_pii(spark, SMALL), "doc_id").collect())
 
 
+def words_of(text):
+    return [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"[\p{L}\p{M}]{2,}", text)]
+
+
+def brute_terms(texts, alpha=pii.ALPHA, level=pii.LEVEL):
+    """The term spans of each text, from the definition."""
+    keys, words = [], []
+    for t in texts:
+        found = {(k, m[0].lower()) for k, (_, p, good) in enumerate(BASE) for m in p.finditer(t) if good(m[0])}
+        own = {(k, hit if k < 2 else digits(hit)) for k, hit in found}
+        keys.append(own | {(k, "wide", (hit.split("@")[-1], ".".join(hit.split(".")[:3]), hit[:6], hit[:-7])[k]) for k, hit in own})
+        words.append({w for *_, w in words_of(t)})
+    n, n_c, n_t = len(texts), Counter(c for x in keys for c in x), Counter(w for x in words for w in x)
+    n_ct, tests = Counter((c, w) for x, y in zip(keys, words, strict=True) for c in x if 1 < n_c[c] < n for w in y), Counter()
+    for x, y in {t: (x, y) for t, x, y in zip(texts, keys, words, strict=True)}.values():
+        tests.update({c: len(y) for c in x})
+    told = set()
+    for (c, w), k in n_ct.items():
+        chance = n_c[c] * n_t[w] / n
+        informs = math.log2(n * k / (n_c[c] * n_t[w])) >= alpha * math.log2(n / n_c[c])
+        if k > 1 and informs and k > chance and k * math.log(k / chance) - k + chance >= math.log(tests[c] / level):
+            told.add((c, w))
+    out = []
+    for t, x in zip(texts, keys, strict=True):
+        base = [(m.start(), m.end()) for _, p, good in BASE for m in p.finditer(t) if good(m[0])]
+        out.append([f"term:{s}:{e}" for s, e, w in words_of(t) if any((c, w) in told for c in x) and not any(s < f and b < e for b, f in base)])
+    return out
+
+
+def term_spans(df):
+    return [[s for s in r["spans"].split(",") if s.startswith("term:")] for r in df.collect()]
+
+
 def corpus(spark):
-    """Five texts in which one name stands beside one address, and others in which neither does."""
-    told = [f"Contact Quibblethorn at q.thorn@corp.example about {w}." for w in ("budget", "travel", "hiring", "design", "legal")]
-    return documents(spark, *told, *[f"Some words about {k} nothing at all, contact the desk." for k in "abcdefghijklmnopqrst"])
+    """Five texts in which one name stands with one address, and others in which neither does."""
+    told = [f"Contact Quibblethorn {'or anybody else who works there ' * 9}at q.thorn@corp.example about {w}." for w in ("budget", "travel", "hiring", "design", "legal")]
+    return documents(spark, *told, *[f"Some words about {a}{b} nothing at all, or contact anybody else who works there." for a in "abcdefghij" for b in "abcdefghij"])
 
 
 def test_disclosive_terms(spark):
     docs = corpus(spark)
-    near = pii.occurrences(docs)
-    terms = {(r["entity"], r["term"]) for r in pii.disclosive(docs, near).collect()}
-    assert ("0:q.thorn@corp.example", "quibblethorn") in terms and ("0:q.thorn@corp.example", "contact") not in terms
-    spans = [r["spans"] for r in pii.scan(docs).orderBy("doc_id").collect()]
-    assert all("term:8:20" in s for s in spans[:5]) and not any(spans[5:])
+    spans = term_spans(pii.scan(docs).orderBy("doc_id"))
+    assert all(s == ["term:8:20"] for s in spans[:5]) and not any(spans[5:])
+    assert spans == brute_terms([r["text"] for r in docs.orderBy("doc_id").collect()])
 
 
 def test_disclosive_terms_against_brute_force(spark):
-    import math
-    from collections import defaultdict
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdeéfgh", k=rng.randint(2, 6))) for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        who = rng.randrange(12)
+        words = rng.choices(vocabulary, k=rng.randint(0, 30))
+        if rng.random() < 0.5:
+            words += [f"p{who}@mail{who % 4}.example.com", f"10.0.{who % 3}.{who}", "+49 30 1234567", "4111 1111 1111 1111"][: rng.randint(1, 4)] + [f"Name{'abcdefghijkl'[who]}x"] * rng.randint(0, 2)
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:20] + ["", "name a@b.co " * 3]
+    got = term_spans(pii.scan(documents(spark, *texts)).orderBy("doc_id"))
+    assert got == brute_terms(texts) and sum(map(bool, got)) > 10
 
-    docs = corpus(spark)
-    near = pii.occurrences(docs).collect()
-    texts = [r["text"] for r in docs.collect()]
-    n, n_c, pairs = len(texts), defaultdict(set), defaultdict(set)
-    for r in near:
-        n_c[r["entity"]].add(r["__id"])
-        pairs[r["entity"], r["term"]].add(r["context"])
-    want = set()
-    for (c, t), contexts in pairs.items():
-        n_t = max(sum(t in re.split(r"[^\w]+", x.lower()) for x in texts), len(contexts))
-        if len(contexts) >= pii.MIN_CONTEXTS and math.log2(n * len(contexts) / (len(n_c[c]) * n_t)) >= pii.ALPHA * math.log2(n / len(n_c[c])):
-            want.add((c, t))
-    assert {(r["entity"], r["term"]) for r in pii.disclosive(docs, pii.occurrences(docs)).collect()} == want
+
+@needs_tables
+def test_query_terms_against_brute_force(spark):
+    folder = SMALL.replace("0.001", "0.01")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = pii.op3_pii(spark, folder).orderBy("doc_id").collect()
+    spans = [[s for s in r["spans"].split(",") if s.startswith("term:")] for r in got]
+    assert spans == brute_terms([texts[r["doc_id"]] for r in got])
+    assert any(spans) and not any(s for r, s in zip(got, spans, strict=True) if not sum(r[f"n_{k}"] for k in pii.KINDS))
 
 
-def test_copies_of_one_passage_count_once(spark):
-    docs = documents(spark, *["Contact Quibblethorn at q.thorn@corp.example now."] * 9, *["plain words"] * 20)
-    assert pii.disclosive(docs, pii.occurrences(docs)).count() == 0
+def test_one_document_never_tells(spark):
+    docs = documents(spark, "Contact Quibblethorn at q.thorn@corp.example now.", *["plain words"] * 2000)
+    assert not any(term_spans(pii.scan(docs)))
 
 
 def test_sanitise(spark):
@@ -100,7 +142,7 @@ def test_sanitise(spark):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     got = [r["text"] for r in out.orderBy("doc_id").collect()]
-    assert got[0] == "Contact [TERM] at [EMAIL] about budget." and got[5:] == [r["text"] for r in docs.orderBy("doc_id").collect()][5:]
+    assert got[0].startswith("Contact [TERM] or anybody") and got[0].endswith(" at [EMAIL] about budget.") and got[5:] == [r["text"] for r in docs.orderBy("doc_id").collect()][5:]
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
     left = pii.scan(out).agg(*[F.sum(f"n_{k}").alias(k) for k in pii.KINDS]).first()
     assert sum(left) == 0
