@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,35 @@ def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task), 1)
 
 
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted ``batches`` cut where one of the columns ``names`` changes; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cut = np.zeros(b.num_rows, bool)
+        for n in names:
+            col = b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
+            cut[1:] |= col[1:] != col[:-1]
+            cut[0] |= bool(held) and held[-1].column(b.schema.get_field_index(n))[-1].as_py() != col[0]
+        if cut[0]:
+            yield _joined(held)
+            held = []
+        cut[0] = True
+        at = np.flatnonzero(cut).tolist()
+        for a, z in zip(at, [*at[1:], b.num_rows], strict=True):
+            if a:
+                yield _joined(held)
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield _joined(held)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -2,15 +2,24 @@
 
 Documents are tokenised, closed with ``END_ID`` and cut only where they are
 longer than a sequence.  Pieces are dealt round-robin into groups of a fixed
-mean size, each packed on its own: first best-fit by decreasing size, then a
-local search that takes the emptiest sequence and moves one of its pieces, or
-exchanges one for one, two for one or one for two with another underfull
-sequence, whenever that increases the sum of squared fills, until sequences
-empty or nothing improves.  A group wastes about one sequence at most, out of
-some thousands.
+mean size.  A group's pieces are put, as they come, into the fullest sequence
+with room.  Then a local search empties sequences: the emptiest one that can
+gives a piece, or one or two in exchange for one or two, to the other underfull
+sequence where that increases the sum of squared fills most.  While the group
+has more sequences than its tokens need, that goes on until no exchange between
+any two of them does; after that, the emptiest gives what it can.  The pieces of
+a group's emptiest sequence, and of those with a room of ``ROOM`` or more, are
+packed again with those of other groups, round by round, until one group is
+left, so that no group wastes a sequence of its own.
+
+All partners of an exchange are looked at: in a table of the pieces sorted by
+sequence and size, the piece that leaves least room behind is found by
+bisection.
 
 Defined results: a null or empty text is one piece that holds only the end id;
-repeated rows are packed each; no rows give no rows; other columns are ignored.
+a very long text gives as many pieces as it needs; of equally good sequences or
+exchanges the first in the order of doc_id and piece is taken; repeated rows
+are packed each; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +29,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, whole_text
+from .common import materialize, read, runs, shuffle_width, whole_text
 
 CAPACITY, END_ID = 4096, 1
-#: Documents of a packing group, on average; words that a tokeniser keeps, and code points tokenised at a time.
-GROUP_DOCS, CACHE_WORDS, SLICE_CHARS = 8000, 300_000, 1 << 20
-#: Pairs of sequences that the local search looks at in a group, at most; best-fit alone is nearly always optimal already.
-SEARCH_ROUNDS = 2000
+#: Pieces of a packing group, on average; words that a tokeniser keeps, and code points tokenised at a time.
+GROUP_PIECES, CACHE_WORDS, SLICE_CHARS = 1000, 300_000, 1 << 20
+#: Share of a sequence that is much room.
+ROOM = 1 / 32
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -143,116 +152,191 @@ def pieces(docs: DataFrame, path: str, groups: int, capacity: int = CAPACITY) ->
                         turn += 1
                     at += 1
             take, *rest = rows
-            cols = [b.column(0).take(pa.array(take, pa.int64())), pa.array(rest[0], pa.int32()), *[pa.array(r, pa.int64()) for r in rest[1:4]], pa.array(rest[4], pa.int32())]
+            cols = [b.column(0).take(pa.array(take, pa.int64())), pa.array(rest[0], pa.int32()), *[pa.array(r, pa.int64()) for r in rest[1:4]], pa.array(rest[4], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "grp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, grp int")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, grp long")
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of places in ``sizes``, which are taken by decreasing size into the fullest bin with room."""
-    bins: list[list[int]] = []
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each size; they are taken as they come, each into the fullest bin with room."""
+    where = np.zeros(len(sizes), np.int64)
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    have = 0  # bit r: some bin has room r
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        s = sizes[k]
+    have = bins = 0  # bit r of have: some bin has room r
+    for k, s in enumerate(sizes.tolist()):
         fits = have >> s
         if fits:
             room = s + (fits & -fits).bit_length() - 1
             at = rooms[room].pop()
             if not rooms[room]:
                 have &= ~(1 << room)
-            bins[at].append(k)
         else:
-            room, at = capacity, len(bins)
-            bins.append([k])
+            room, at = capacity, bins
+            bins += 1
+        where[k] = at
         room -= s
         if room:
             rooms[room].append(at)
             have |= 1 << room
-    return bins
+    return where
 
 
-def _choices(b: list[int], sizes: list[int]) -> tuple[tuple[list[tuple[int, ...]], np.ndarray], ...]:
-    """None, each one and each two of a bin's places, with their sizes."""
-    sets = ([()], [(k,) for k in b], [(k, m) for i, k in enumerate(b) for m in b[i + 1 :]])
-    return tuple((xs, np.array([sum(sizes[k] for k in x) for x in xs], np.int64)) for xs in sets)
+@dataclass
+class Underfull:
+    """The pieces of the bins with room, sorted by bin and size, and these bins."""
 
+    places: np.ndarray
+    key: np.ndarray
+    bins: np.ndarray
+    fill: np.ndarray
+    step: int
 
-def _better(a: list[int], b: list[int], sizes: list[int], capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What to take out of ``a`` and of ``b`` and put into the other, such that both fit and the squared fill grows most."""
-    fill_a, fill_b = sum(sizes[k] for k in a), sum(sizes[k] for k in b)
-    of_a, of_b = _choices(a, sizes), _choices(b, sizes)
+    @classmethod
+    def of(cls, sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int) -> Underfull:
+        places = np.flatnonzero(fill[where] < capacity)
+        key = where[places] * (2 * capacity) + sizes[places]
+        order = np.argsort(key, kind="stable")
+        return cls(places[order], key[order], np.flatnonzero((fill < capacity) & (fill > 0)), fill, 2 * capacity)
+
+    def least(self, bins: np.ndarray, size: np.ndarray, first: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the smallest piece of each bin that has at least ``size``, from row ``first`` on, and whether there is one."""
+        at = np.maximum(np.searchsorted(self.key, bins * self.step + size), first)
+        row = np.minimum(at, len(self.key) - 1)
+        return row, (at < len(self.key)) & (self.key[row] // self.step == bins)
+
+
+def exchange(a: int, pieces: Underfull, sizes: np.ndarray, where: np.ndarray, capacity: int) -> tuple[tuple[int, ...], int, tuple[int, ...]] | None:
+    """What bin ``a`` gives, to which bin, and what it gets for it, such that the squared fill grows most.
+
+    One piece is moved or exchanged for one or two, or two are exchanged for
+    one.  What the other bin gains is never negative: an exchange that makes it
+    emptier is one of its own as the giver.
+    """
+    bins, fill = pieces.bins[pieces.bins != a], pieces.fill
+    if not len(bins):
+        return None
+    room = capacity - fill[bins]
+    mine = np.flatnonzero(where == a)
+    given, first, times = np.unique(sizes[mine], return_index=True, return_counts=True)
+    first = mine[first]
+    i, j = np.triu_indices(len(given))
+    i, j = i[keep := (i != j) | (times[i] > 1)], j[keep]
+    sums, pair = np.unique(given[i] + given[j], return_index=True)
+    i, j = i[pair], j[pair]
     best, gain = None, 0
-    for m, n in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2)):
-        (xs, x), (ys, y) = of_a[m], of_b[n]
-        if not len(x) or not len(y):
-            continue
-        d = x[:, None] - y[None]  # what b gains
-        worth = np.where((d <= capacity - fill_b) & (-d <= capacity - fill_a), d * (d + fill_b - fill_a), 0)
-        at = int(worth.argmax())
-        if worth.flat[at] > gain:
-            gain, best = int(worth.flat[at]), (xs[at // len(y)], ys[at % len(y)])
+
+    def worth(d: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.where(d > 0, d * (d + fill[to] - fill[a]), 0)
+
+    moved = worth(np.where(given[:, None] <= room[None], given[:, None], 0), bins[None])
+    at = int(moved.argmax())
+    if moved.flat[at] > gain:
+        gain, best = int(moved.flat[at]), ((int(first[at // len(bins)]),), int(bins[at % len(bins)]), ())
+
+    both = np.r_[given, sums]
+    row, found = pieces.least(bins[None], np.maximum(both[:, None] - room[None], 1))
+    swapped = worth(np.where(found, both[:, None] - sizes[pieces.places[row]], 0), bins[None])
+    at = int(swapped.argmax())
+    if swapped.flat[at] > gain:
+        x, y = divmod(at, len(bins))
+        xs = (int(first[x]),) if x < len(given) else (int(first[i[x - len(given)]]), int(first[j[x - len(given)]]))
+        if len(xs) == 2 and xs[0] == xs[1]:
+            xs = tuple(mine[sizes[mine] == sizes[xs[0]]][:2].tolist())
+        gain, best = int(swapped.flat[at]), (xs, int(bins[y]), (int(pieces.places[row[x, y]]),))
+
+    owner, size = where[pieces.places], sizes[pieces.places]
+    later = np.arange(1, len(owner) + 1)
+    for s, k in zip(given.tolist(), first.tolist(), strict=True):
+        row, found = pieces.least(owner, np.maximum(s - (capacity - fill[owner]) - size, 1), later)
+        swapped = worth(np.where(found & (owner != a), s - size - size[row], 0), owner)
+        at = int(swapped.argmax())
+        if swapped[at] > gain:
+            gain, best = int(swapped[at]), ((k,), int(owner[at]), (int(pieces.places[at]), int(pieces.places[row[at]])))
     return best
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
-    """Fewer bins, if exchanges between two underfull ones that increase the squared fill can empty some.
+def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
+    """The bins after exchanges that each increase the sum of squared fills.
 
-    The emptiest bins are tried first, each with the fullest ones first.  It
-    ends when the sum of the sizes allows no fewer bins, when no exchange
-    helps, or after ``rounds`` pairs; what is packed is whole at any time.
+    While there are more bins than the sizes need, it ends only when no two
+    bins have such an exchange; then, when the emptiest bin has none.
     """
-    fewest = -(-sum(sizes) // capacity)
-    fill = lambda b: sum(sizes[k] for k in b)
-    moved = True
-    while moved and rounds and len(bins) > fewest:
-        moved = False
-        open_ = sorted((b for b in bins if fill(b) < capacity), key=fill)
-        for a, b in ((a, b) for i, a in enumerate(open_) for b in open_[:i:-1]):
-            if not rounds:
-                break
-            rounds -= 1
-            if swap := _better(a, b, sizes, capacity):
-                xs, ys = swap
-                a[:] = [k for k in a if k not in xs] + list(ys)
-                b[:] = [k for k in b if k not in ys] + list(xs)
-                moved = True
+    where, fewest = where.copy(), -(-int(sizes.sum()) // capacity)
+    fill = np.bincount(where, sizes, int(where.max(initial=-1)) + 1).astype(np.int64)
+    while True:
+        pieces = Underfull.of(sizes, where, fill, capacity)
+        givers = pieces.bins[np.argsort(fill[pieces.bins], kind="stable")]
+        for a in givers[: None if np.count_nonzero(fill) > fewest else 1].tolist():
+            if swap := exchange(a, pieces, sizes, where, capacity):
                 break
-        bins = [b for b in bins if b]
-    return bins
-
-
-def pack(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each size."""
-    bins = local_search(best_fit(sizes, capacity), sizes, capacity)
-    where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    for n, b in enumerate(bins):
-        at = 0
-        for k in b:
-            where[k], offset[k] = n, at
-            at += sizes[k]
+        else:
+            return where
+        xs, b, ys = swap
+        where[list(xs)], where[list(ys)] = b, a
+        gained = int(sizes[list(xs)].sum() - sizes[list(ys)].sum())
+        fill[a] -= gained
+        fill[b] += gained
+
+
+def pack(sizes: list[int] | np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each size; the bins are numbered from 0, by decreasing fill."""
+    sizes = np.asarray(sizes, np.int64)
+    where = local_search(sizes, best_fit(sizes, capacity), capacity)
+    fill = np.bincount(where, sizes)
+    rank = np.empty(len(fill), np.int64)
+    rank[np.argsort(-fill, kind="stable")] = np.arange(len(fill))
+    where = rank[where]
+    order = np.argsort(where, kind="stable")
+    ends = np.cumsum(sizes[order])
+    opens = np.r_[0, np.cumsum(np.bincount(where, sizes))].astype(np.int64)
+    offset = np.empty(len(sizes), np.int64)
+    offset[order] = ends - sizes[order] - opens[where[order]]
     return where, offset
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    groups = -(-max(docs.count(), 1) // GROUP_DOCS)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32", "length"], kind="stable", ignore_index=True)
-        where, offset = pack(pdf["length"].tolist(), capacity)
-        out = pdf.drop(columns="grp")
-        out["sequence_id"], out["offset"] = pdf["grp"].astype("int64") * (1 << 32) + where, offset
-        return out
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces(docs, path, groups, capacity).groupBy("grp").applyInPandas(run, schema)
+def packed_groups(rows: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
+    """``rows`` (PIECE, grp) with sequence_id, offset, and whether its sequence is to be packed again."""
+    spark = rows.sparkSession
+    width = min(groups, shuffle_width(spark, groups * GROUP_PIECES, 200 * GROUP_PIECES))
+    rows = rows.repartitionById(width, (F.col("grp") * width / groups).cast("int")).sortWithinPartitions("grp", "doc_id", "piece", "ids_crc32", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, "grp"):
+            where, offset = pack(group.column("length").to_numpy(), capacity)
+            sequence = (turn << 48) + (group.column("grp").to_numpy() << 14) + where  # a group has no more bins than pieces
+            fill = np.bincount(where, group.column("length").to_numpy())
+            again = (fill <= capacity - ROOM * capacity) | (np.arange(len(fill)) == len(fill) - 1)
+            new = (pa.array(sequence), pa.array(offset), pa.array(again[where]))
+            yield pa.RecordBatch.from_arrays([*[group.column(c) for c in (*PIECE, "grp")], *new], names=[*PIECE, "grp", "sequence_id", "offset", "again"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, again boolean"
+    return rows.mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    groups, turn, out = -(-max(docs.count(), 1) // GROUP_PIECES), 0, None
+    rows = pieces(docs, path, groups, capacity)
+    while True:
+        done = packed_groups(rows, groups, turn, capacity)
+        if groups > 1:
+            done = materialize(done, "packed")
+        final = (done if groups == 1 else done.where(~F.col("again"))).select(*PIECE, "sequence_id", "offset")
+        out = final if out is None else out.unionByName(final)
+        if groups == 1:
+            return out
+        rows = done.where("again")
+        fewer = max(1, min(-(-rows.count() // GROUP_PIECES), groups // 2))
+        rows = rows.select(*PIECE, F.floor(F.col("grp") * fewer / groups).alias("grp"))
+        groups, turn = fewer, turn + 1
 
 
 def vocabulary_path(name: str) -> str:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -106,10 +107,64 @@ def test_near_the_optimum(seed):
 
 
 def test_search_empties_bins_that_best_fit_leaves():
-    sizes = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
-    start = packing.best_fit(sizes, 61)
-    out = packing.local_search([list(b) for b in start], sizes, 61)
-    assert sorted(k for b in out for k in b) == list(range(len(sizes))) and len(out) <= len(start) and len(out) == fewest(sizes, 61)
+    rng = random.Random(2)
+    emptied = 0
+    for _ in range(20):
+        sizes = np.array([rng.randint(5, 60) for _ in range(60)])
+        start = packing.best_fit(sizes, 100)
+        out = packing.local_search(sizes, start, 100)
+        before, after = np.bincount(start, sizes), np.bincount(out, sizes)
+        assert after.max() <= 100 and (after**2).sum() >= (before**2).sum()
+        emptied += len(before) - np.count_nonzero(after)
+    assert emptied > 10
+
+
+def test_no_exchange_is_left():
+    """What the tables say of exchanges is what trying all of them says."""
+    rng = random.Random(3)
+    for _ in range(40):
+        sizes = np.array([rng.randint(1, 40) for _ in range(14)])
+        where = packing.best_fit(sizes, 60)
+        fill = np.bincount(where, sizes).astype(np.int64)
+        pieces = packing.Underfull.of(sizes, where, fill, 60)
+        for a in pieces.bins.tolist():
+            best = 0
+            mine = [k for k in range(14) if where[k] == a]
+            for b in pieces.bins.tolist():
+                other = [k for k in range(14) if where[k] == b]
+                for m, n in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                    for xs in itertools.combinations(mine, m) if a != b else ():
+                        for ys in itertools.combinations(other, n):
+                            d = int(sizes[list(xs)].sum() - sizes[list(ys)].sum())
+                            if 0 < d <= 60 - fill[b]:
+                                best = max(best, d * (d + fill[b] - fill[a]))
+            swap = packing.exchange(a, pieces, sizes, where, 60)
+            gain = 0
+            if swap:
+                xs, b, ys = swap
+                assert all(where[k] == a for k in xs) and all(where[k] == b for k in ys) and len(set(xs)) == len(xs)
+                d = int(sizes[list(xs)].sum() - sizes[list(ys)].sum())
+                assert 0 < d <= 60 - fill[b]
+                gain = d * (d + fill[b] - fill[a])
+            assert gain == best
+
+
+def test_groups_waste_no_sequence_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 20)
+    rng = random.Random(5)
+    texts = ["word " * rng.randint(0, 60) for _ in range(300)]
+    n, total = valid(packing.packed(documents(spark, *texts), PATH, 128).collect(), dict(enumerate(texts)), 128)
+    assert n <= -(-total // 128) + 1
+
+
+@needs_tables
+def test_the_query_leaves_few_rooms(spark):
+    """The query's own path: exchanges empty sequences that best fit opened, over more than one group."""
+    folder = SMALL.replace("0.001", "0.01")
+    got = packing.op6_best_fit_packing(spark, folder).collect()
+    total = sum(r["length"] for r in got)
+    sizes = np.array([r["length"] for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"]))])
+    assert len({r["sequence_id"] for r in got}) <= -(-total // packing.CAPACITY) + 1 < packing.best_fit(sizes, packing.CAPACITY).max() + 1
 
 
 def test_many_equal_sizes():
