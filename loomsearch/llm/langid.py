@@ -9,22 +9,28 @@ wins.
 The automaton is turned into one table: for a state and a letter, the next
 state and how many phrases end.  All texts of a batch walk through the tables
 of all languages side by side, letter by letter.  Long texts are cut into
-stretches that are parsed on their own, which costs at most one more phrase
-each; every letter of every text is parsed.
+stretches that start as if a phrase began there.  Each is then walked again
+from the state in which the stretch before it ended, until both walks are in
+the same state, from where on they are one; the phrases counted up to there
+replace those of the first walk.  So the counts are those of the whole text,
+wherever it was cut.
 
-The labelled sample is bounded: ``SLOTS`` documents for each language, picked
-by the smallest hash of their id in each of as many classes, and ``CHARS``
-letters of them.
+The labelled sample is bounded: the documents with a letter of each of
+``SLOTS`` classes of ids that come first by the hash of their id, and
+``CHARS`` letters of each language, of which each of its documents gives an
+equal share, or all it has.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
-and when nothing could be learned; ties go to the first language by name;
-repeated rows are each predicted; other columns are ignored.
+and when nothing could be learned; a very long text is parsed whole; ties go to
+the first language by name; repeated rows are each predicted; no rows give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,7 @@ SLOTS, CHARS, STRETCH = 64, 40_000, 2048
 #: Phrases per letter above which a text is like no learned language; text of a learned one has 0.1 to 0.35.
 MOST_PHRASES = 0.5
 UNKNOWN = "und"
+LOW = np.uint32((1 << 29) - 1)  # the part of a table's entry that is a state
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -103,39 +110,80 @@ class Model:
         if limit >= 1 << 29:
             raise ValueError("the labelled texts are too long for 32-bit tables")
         self.table = ((flat & ((1 << 40) - 1)) | (flat >> 40 << 29)).astype(np.uint32)
-        self.code = np.zeros(0x10000, np.uint32)
-        for c, k in code.items():
-            if ord(c) < 0x10000:
-                self.code[ord(c)] = k
+        self.root = np.array(self.roots, np.uint32)[:, None]
+
+    @cached_property
+    def code(self) -> np.ndarray:
+        """The letter of each code point; made where it is used, so that it is not sent."""
+        out = np.zeros(0x110000, np.uint32)
+        out[[ord(c) for c in self.alphabet]] = np.arange(1, self.width)
+        return out
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (of letters) for each language."""
         out = np.zeros((len(texts), len(self.langs)))
         if not self.langs:
             return out
-        whole = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[np.where(whole < 0x10000, whole, 0)]
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         ends = np.cumsum([len(t) for t in texts])
         starts = ends - [len(t) for t in texts]
         cuts = -(-(ends - starts) // STRETCH)
         owner = np.repeat(np.arange(len(texts)), cuts)
-        at = np.repeat(starts, cuts) + STRETCH * (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        at = np.repeat(starts, cuts) + STRETCH * nth
         size = np.minimum(np.repeat(ends, cuts) - at, STRETCH)
+        state, count = self.walk(codes, at, size, np.repeat(self.root, len(at), 1))
+        self.stitch(codes, at, size, nth, state, count)
+        last = np.r_[nth[1:] == 0, True] if len(nth) else np.empty(0, bool)
+        count += (state != self.root) & last
+        for m in range(len(self.langs)):
+            out[:, m] = np.bincount(owner, count[m], len(texts))
+        return out
+
+    def walk(self, codes: np.ndarray, at: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last states and the numbers of phrases that end, of stretches walked from ``state`` (a row for each language)."""
         order = np.argsort(-size, kind="stable")
-        owner, at, size = owner[order], at[order], size[order]
-        state = np.repeat(np.array(self.roots, np.uint32)[:, None], len(at), 1)
-        count = np.zeros(state.shape, np.uint32)
-        low = np.uint32((1 << 29) - 1)
+        at, size, state = at[order], size[order], state[:, order]
+        count = np.zeros(state.shape, np.int64)
         live = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")
         for k in range(size.max(initial=0)):
             n = live[k]
             to = self.table[state[:, :n] + codes[at[:n] + k]]
             count[:, :n] += to >> np.uint32(29)
-            state[:, :n] = to & low
-        count += state != np.array(self.roots, np.uint32)[:, None]
-        for m in range(len(self.langs)):
-            out[:, m] = np.bincount(owner, count[m], len(texts))
-        return out
+            state[:, :n] = to & LOW
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[:, back], count[:, back]
+
+    def stitch(self, codes: np.ndarray, at: np.ndarray, size: np.ndarray, nth: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """Corrects ``state`` and ``count`` of stretches walked from the root for the states in which those before them ended.
+
+        A stretch whose walks do not meet ends in another state than thought;
+        the stretch after it is then walked once more.
+        """
+        begun = np.repeat(self.root, len(at), 1)  # where the walk that ``count`` stands for began
+        todo = [np.flatnonzero((nth > 0) & (np.r_[self.root[m], state[m, :-1]] != self.root[m])) for m in range(len(self.langs))] if len(at) else []
+        while any(map(len, todo)):
+            row = np.repeat(np.arange(len(todo)), [len(x) for x in todo])
+            col = np.concatenate(todo)
+            new, old = state[row, col - 1], begun[row, col]
+            begun[row, col] = new
+            k, changed = 0, []
+            while len(row):
+                over = k == size[col]
+                if over.any():  # the walks end apart
+                    state[row[over], col[over]] = new[over]
+                    changed.append((row[over], col[over]))
+                apart = ~over & (new != old)
+                row, col, new, old = row[apart], col[apart], new[apart], old[apart]
+                letter = codes[at[col] + k]
+                new, old = self.table[new + letter], self.table[old + letter]
+                np.add.at(count, (row, col), (new >> np.uint32(29)).astype(np.int64) - (old >> np.uint32(29)))
+                new, old = new & LOW, old & LOW
+                k += 1
+            rows, cols = (np.concatenate(x) for x in zip(*changed, strict=True)) if changed else (row, col)
+            after = (cols + 1 < len(at)) & (nth[np.minimum(cols + 1, len(at) - 1)] > 0)
+            todo = [cols[after & (rows == m)] + 1 for m in range(len(self.langs))]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score (how much fewer phrases than the next language) and phrases per letter."""
@@ -159,17 +207,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def shares(lengths: list[int], total: int) -> list[int]:
+    """How much each gives of ``total`` if all give the same, or all they have."""
+    out, left = [0] * len(lengths), total
+    for done, k in enumerate(sorted(range(len(lengths)), key=lambda k: (lengths[k], k))):
+        out[k] = min(lengths[k], left // (len(lengths) - done))
+        left -= out[k]
+    return out
+
+
 def sample(docs: DataFrame) -> dict[str, str]:
     """Labelled letters by language, a bounded number of them."""
     mixed = F.xxhash64("doc_id")
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang", F.pmod(mixed, F.lit(SLOTS)).alias("slot")).agg(F.min(mixed).alias("h"))
-    picked = picked.select("lang", "h").distinct()
-    texts = rows.select("lang", mixed.alias("h"), F.substring("text", 1, CHARS).alias("text")).join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # SLOTS rows for each language
-    out: dict[str, str] = {}
+    picked = rows.groupBy("lang", F.pmod(mixed, F.lit(SLOTS)).alias("slot")).agg(F.min(mixed).alias("h"))
+    # a text gives at most CHARS letters, which are looked for in the whole of it
+    texts = rows.select("lang", mixed.alias("h"), "text").join(F.broadcast(picked.select("lang", "h")), ["lang", "h"])  # SLOTS rows for each language
+    letters = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, CHARS)
+    texts = texts.groupBy("lang", "h").agg(F.min(letters).alias("text"))
+    by_lang: dict[str, list[str]] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
-        out[r["lang"]] = out.get(r["lang"], "") + letters_of(r["text"]) + " "
-    return {x: t[:CHARS] for x, t in out.items()}
+        by_lang.setdefault(r["lang"], []).append(letters_of(r["text"]) + " ")
+    return {x: "".join(t[:n] for t, n in zip(ts, shares([len(t) for t in ts], CHARS), strict=True)) for x, ts in by_lang.items()}
 
 
 def predictions(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:

@@ -44,7 +44,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_row, let, materialize, read, small_side, whole_text
+from .common import BROADCAST_ROWS, Scratch, as_row, let, materialize, read, small_side, whole_text
 
 LOCAL = r"A-Za-z0-9._%+-"
 #: kind -> (pattern, a cheap test that any text with a match passes).
@@ -113,10 +113,6 @@ def entities(text: Column) -> Column:
 # --- terms ------------------------------------------------------------------------------------------------------------
 
 
-def _hash() -> Column:
-    return F.xxhash64(whole_text())
-
-
 def _entity_keys(e: Column) -> Column:
     """The exact and the wider entity of a base span."""
     hit, digits = F.lower(e["hit"]), _digits(e["hit"])
@@ -131,13 +127,12 @@ def terms(text: Column) -> Column:
 
 
 def entity_texts(docs: DataFrame) -> DataFrame:
-    """(h, times, keys, terms) of each different text with an entity: its copies, entities and terms."""
-    t = whole_text()
+    """(h, times, t, base, keys, terms) of each different text with an entity: its copies, spans, entities and terms."""
     some = F.explode(F.filter(F.array(entities(F.col("t"))), lambda e: F.size(e) > 0))  # a filter on the entities would find them once more
-    found = docs.select(t.alias("t")).where(F.col("t").rlike("[0-9@]")).select("t", some.alias("e"))
-    keys = F.array_distinct(F.flatten(F.transform("e", _entity_keys)))
-    found = found.select(F.xxhash64("t").alias("h"), keys.alias("keys"), terms(F.col("t")).alias("terms"))
-    return found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"), F.first("terms").alias("terms"))
+    found = docs.select(whole_text().alias("t")).where(F.col("t").rlike("[0-9@]")).select("t", some.alias("base"))
+    found = found.groupBy(F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("t", "base")).alias("o"))
+    keys = F.array_distinct(F.flatten(F.transform("o.base", _entity_keys)))
+    return found.select("h", "times", "o.t", "o.base", keys.alias("keys"), terms(F.col("o.t")).alias("terms"))
 
 
 def _too_much(n: float, n_t: Column, alpha: float, level: float) -> Column:
@@ -171,37 +166,41 @@ def disclosive(docs: DataFrame, n: float, found: DataFrame, classes: DataFrame,
     if not n_asked:
         return met.select("class", "term")
     words = docs.select(F.explode(terms(whole_text())).alias("term"))
-    n_t = words.join(small_side(asked, n_asked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    if n_asked <= BROADCAST_ROWS:  # else words are counted before they are exchanged
+        words = words.join(F.broadcast(asked), "term", "left_semi")
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return met.join(n_t, "term").where(_too_much(n, F.col("n_t"), alpha, level)).select("class", "term")
 
 
+def term_spans(text: Column, told: Column, base: Column) -> Column:
+    """Spans of the terms ``told`` in ``text`` that meet no base span."""
+    hits = spans(text, TERM, lambda hit: F.array_contains(told, F.lower(hit)))
+    apart = F.filter(hits, lambda s: ~F.exists(base, lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
+    return F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("k"), s["end"].alias("end"), s["hit"].alias("hit")))
+
+
 def disclosed(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> tuple[DataFrame, int]:
-    """(h, terms): the disclosive terms of each text that has some, and how many there are."""
+    """(h, terms): the spans of disclosive terms of each text that has some, and how many there are."""
     scratch, n = Scratch(docs.sparkSession), float(docs.count())
     found = scratch.keep(entity_texts(docs), "pii-texts")
     classes = scratch.keep(entity_classes(found, n, scratch), "pii-classes")
     told = scratch.keep(disclosive(docs, n, found, classes, scratch, alpha, level), "pii-told")
     n_told = told.count()
     each = classes.join(small_side(told.select("class").distinct(), n_told), "class", "left_semi").join(found, "h").select("h", "class", F.explode("terms").alias("term"))
-    each = each.join(small_side(told, n_told), ["class", "term"], "left_semi")
-    by_text = materialize(each.groupBy("h").agg(F.collect_set("term").alias("__told")), "pii-by-text")
+    each = each.join(small_side(told, n_told), ["class", "term"], "left_semi").groupBy("h").agg(F.collect_set("term").alias("told"))
+    by_text = each.join(found, "h").select("h", term_spans(F.col("t"), F.col("told"), F.col("base")).alias("terms"))
+    by_text = materialize(by_text, "pii-by-text")
     scratch.drop()
-    return by_text, by_text.agg(F.sum(F.size("__told"))).first()[0] or 0
+    return by_text, by_text.agg(F.sum(F.size("terms"))).first()[0] or 0
 
 
-def term_spans(text: Column, told: Column, base: Column) -> Column:
-    """Spans of the terms ``told`` in ``text`` that meet no base span."""
-    hits = spans(text, TERM, lambda hit: F.array_contains(told, F.lower(hit)))
-    apart = F.filter(hits, lambda s: ~F.exists(base, lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
-    return F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("k"), s["end"].alias("end"), s["hit"].alias("hit")))
+NO_SPANS = "array<struct<start:int,k:int,end:int,hit:string>>"
 
 
-def mark(docs: DataFrame, by_text: DataFrame, n_terms: int) -> DataFrame:
-    """``docs`` with __base and __terms, the spans of entities and of disclosive terms."""
-    t, none = whole_text(), F.array().cast("array<struct<start:int,k:int,end:int,hit:string>>")
-    df = docs.withColumn("__base", F.when(t.rlike("[0-9@]"), entities(t)).otherwise(none))
-    df = df.join(small_side(by_text.withColumnRenamed("h", "__k"), n_terms), _hash() == F.col("__k"), "left").drop("__k")
-    return df.withColumn("__terms", F.when(F.col("__told").isNotNull(), term_spans(t, F.col("__told"), F.col("__base"))).otherwise(none)).drop("__told")
+def with_terms(df: DataFrame, by_text: DataFrame, n_spans: int) -> DataFrame:
+    """``df`` (__h and others) with __terms, the spans of disclosive terms."""
+    side = small_side(by_text.withColumnsRenamed({"h": "__k", "terms": "__terms"}), n_spans)
+    return df.join(side, F.col("__h") == F.col("__k"), "left").drop("__k").withColumn("__terms", F.coalesce("__terms", F.array().cast(NO_SPANS)))
 
 
 def listed(found: Column) -> Column:
@@ -211,7 +210,9 @@ def listed(found: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, digest of the base spans, and all spans."""
-    df = mark(docs.select("doc_id", "text"), *disclosed(docs))
+    t = whole_text()
+    base = F.when(t.rlike("[0-9@]"), entities(t)).otherwise(F.array().cast(NO_SPANS))
+    df = with_terms(docs.select("doc_id", F.xxhash64(t).alias("__h"), base.alias("__base")), *disclosed(docs))  # no texts are exchanged
     counts = [F.size(F.filter("__base", lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return df.select("doc_id", *counts, F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.sort_array(F.concat("__base", "__terms"))).alias("spans"))
 
@@ -234,12 +235,16 @@ def redacted(text: Column, found: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with entities and disclosive terms in text generalised; n_chars follows where there is one."""
-    df = mark(as_row(docs, "doc_id", "text"), *disclosed(docs)).withColumn("__all", F.sort_array(F.concat("__base", "__terms")))
-    df = df.withColumn("__new", F.when(F.size("__all") > 0, redacted(F.col("text"), F.col("__all"))).otherwise(F.col("text")))
+    df, t = as_row(docs, "text"), whole_text()
+    found = F.when(t.rlike("[0-9@]"), entities(t)).otherwise(F.array().cast(NO_SPANS))
+    plain = df.where(F.size(found) == 0).select("__row.*")
+    some = F.explode(F.filter(F.array(found), lambda e: F.size(e) > 0)).alias("__base")
+    df = with_terms(df.select("__row", "text", F.xxhash64(t).alias("__h"), some), *disclosed(docs))  # only texts with entities are exchanged
+    df = df.withColumn("__new", redacted(F.col("text"), F.sort_array(F.concat("__base", "__terms"))))
     new = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("__all") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`") for c in docs.columns])
+        new["n_chars"] = F.length("__new").cast(docs.schema["n_chars"].dataType)
+    return plain.unionByName(df.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`") for c in docs.columns]))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
