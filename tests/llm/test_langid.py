@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -21,21 +22,47 @@ def parse_length(known, text):
     return n
 
 
-@pytest.mark.parametrize("text", ["the dog", "dog über fox", "zzz", "", "q", "the quick brown fox", "лес", "a" * 5000])
-def test_phrases_against_plain_search(text, monkeypatch):
-    monkeypatch.setattr(langid, "STRETCH", 10**6)
-    model = langid.Model({"de": DE, "en": EN})
-    assert model.phrases([text])[0].tolist() == [parse_length(DE, text), parse_length(EN, text)]
+HIGH = "\U00010428\U00010429\U0001042a"  # letters above U+FFFF
+PLAIN = ["the dog", "dog über fox", "zzz", "", "q", "the quick brown fox", "лес", "a" * 5000, (EN + DE) * 40, (DE * 3)[7:], HIGH * 900 + EN, "zq" * 3000 + EN * 30]
 
 
-def test_stretches_cost_one_phrase_each_at_most(monkeypatch):
-    text = (EN + DE) * 40
-    whole = langid.Model({"de": DE, "en": EN})
-    monkeypatch.setattr(langid, "STRETCH", 10**6)
-    want = whole.phrases([text])[0]
-    monkeypatch.setattr(langid, "STRETCH", 512)
-    got = whole.phrases([text, "the dog"])
-    assert ((got[0] - want >= 0) & (got[0] - want <= len(text) // 512 + 1)).all() and got[1].tolist() == [parse_length(DE, "the dog"), parse_length(EN, "the dog")]
+@pytest.mark.parametrize("stretch", [langid.STRETCH, 1, 2, 7, 64, 500, 10**6])
+def test_phrases_against_plain_search(monkeypatch, stretch):
+    """The counts are those of whole texts, wherever long ones are cut."""
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    known = {"de": DE, "en": EN + HIGH, "xx": "zqzqzq abab"}
+    model = langid.Model(known)
+    want = [[parse_length(known[x], t) for x in model.langs] for t in PLAIN]
+    assert model.phrases(PLAIN).tolist() == want
+    assert [model.phrases([t])[0].tolist() for t in PLAIN] == want
+
+
+def test_phrases_of_random_texts(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(60):
+        known = {x: "".join(rng.choices("ab c", k=rng.randint(1, 80))) for x in "xyz"}
+        texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 200))) for _ in range(6)]
+        monkeypatch.setattr(langid, "STRETCH", rng.randint(1, 40))
+        model = langid.Model(known)
+        assert model.phrases(texts).tolist() == [[parse_length(known[x], t) for x in model.langs] for t in texts]
+
+
+@needs_tables
+def test_phrases_of_all_documents(spark):
+    """The shipped stretch on the table's own texts: the same counts as without any cut."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.Model(langid.sample(docs))
+    texts = [langid.letters_of(r["text"]) for r in docs.collect()]
+    cut = model.phrases(texts)
+    whole, langid.STRETCH = langid.STRETCH, 10**7
+    try:
+        assert max(map(len, texts)) > whole and (model.phrases(texts) == cut).all()
+    finally:
+        langid.STRETCH = whole
+
+
+def test_shares():
+    assert langid.shares([5, 100, 100], 65) == [5, 30, 30] and langid.shares([], 9) == [] and langid.shares([3, 3], 100) == [3, 3]
 
 
 def test_predictions(spark):
