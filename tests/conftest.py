@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g",
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.warehouse.dir": str(folder / "warehouse"), "spark.checkpoint.dir": str(folder / "shared"),
     }
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
