@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -52,8 +54,8 @@ def test_edges_against_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out.collect())
 
 
-@pytest.mark.parametrize("block_rows", [16, 64, 1024])
-def test_clusters_against_brute_force(spark, block_rows):
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 16, "whole_run": 20}, {"block_rows": 64, "whole_run": 7, "run_rows": 4}])
+def test_clusters_against_brute_force(spark, limits):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((30, 24))
     rows = []
@@ -61,7 +63,7 @@ def test_clusters_against_brute_force(spark, block_rows):
         c = centres[rng.integers(30)]
         rows.append((k, tuple((c + rng.standard_normal(24) * rng.choice([0.05, 0.25, 0.3, 1.0])).astype(np.float32).tolist()), int(rng.integers(2)) if k % 50 else None))
     rows += [(500 + k, rows[7][1], rows[7][2]) for k in range(40)]
-    assert got(embeddings.near_duplicates(table(spark, rows), block_rows=block_rows)) == brute(rows)
+    assert got(embeddings.near_duplicates(table(spark, rows), **limits)) == brute(rows)
 
 
 @needs_tables
@@ -70,26 +72,50 @@ def test_query_against_brute_force(spark):
     assert got(embeddings.op10_embedding_near_dedup(spark, SMALL)) == brute(rows)
 
 
-def test_calibrated_count():
+@pytest.mark.parametrize("lines", [8, 64, 256])
+@pytest.mark.parametrize("size", [16, 64])
+def test_recall_at_the_threshold(lines, size):
+    """Pairs at the very threshold, counted with the shipped tables: as few are missed as calculated."""
+    rate = embeddings.collision_rate(lines, 0.93)
+    need, searched, half = embeddings.least_count(rate), embeddings.searched_tables(rate), embeddings.half_window(0.93)
     rng = np.random.default_rng(5)
-    need, cos, size, missed = embeddings.least_count(), 0.93, 64, 0
-    half = embeddings.WIDTH * np.sqrt(2 - 2 * cos)
-    shadow = embeddings.directions(size)
-    for _ in range(4000):
-        a = rng.standard_normal(size)
-        a /= np.linalg.norm(a)
-        b = rng.standard_normal(size)
-        b -= (a @ b) * a
-        b = cos * a + np.sqrt(1 - cos * cos) * b / np.linalg.norm(b)
-        missed += (np.abs(shadow @ (a - b)) <= half).sum() < need
-    assert 1 < need <= embeddings.PROJECTIONS and missed <= 4
-
-
-def test_candidates_count_collisions():
+    a = embeddings.unit(rng.standard_normal((4000, size)))
+    b = rng.standard_normal((4000, size))
+    b = embeddings.unit(b - (a * b).sum(1, keepdims=True) * a)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b
+    lie = lambda x: embeddings.furthest((x.astype(np.float32) @ embeddings.directions(size, lines)).reshape(len(x), embeddings.TABLES, lines))
+    (x, u), (y, v) = lie(a), lie(b)
+    meet = (x == y)[:, :searched] & (np.abs(u - v)[:, :searched] <= half)
+    missed = ~(meet.any(1) & ((x == y).sum(1) >= need))
+    assert need > 1 and missed.sum() <= 4
+
+
+def test_collisions_count_all_tables():
     rng = np.random.default_rng(1)
-    a, b = rng.standard_normal((20, 7)), rng.standard_normal((30, 7))
-    i, j = embeddings.candidates(a, b, 0.7, 4)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(x, y) for x in range(20) for y in range(30) if (np.abs(a[x] - b[y]) <= 0.7).sum() >= 4}
+    for sides in (np.zeros(60, int), np.repeat([0, 1], [25, 35])):
+        value = rng.random(60)
+        value = np.concatenate([np.sort(value[sides == 0]), np.sort(value[sides == 1])])
+        ends = rng.integers(0, 3, (60, 9))
+        got = {(i, j) for x, y in embeddings.collisions(value, ends, sides, 0.2, 4) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        pairs = [(i, j) for i in range(60) for j in range(i + 1, 60) if not sides.any() or sides[i] != sides[j]]
+        assert got == {(i, j) for i, j in pairs if abs(value[i] - value[j]) <= 0.2 and (ends[i] == ends[j]).sum() >= 4}
+
+
+def test_double_precision(spark):
+    """Vectors of doubles are compared as such: these cosines differ from the threshold by less than a float shows."""
+    s = 0.93
+    rows = [(1, [1.0, 0.0], 1), (2, [s + 1e-9, math.sqrt(1 - (s + 1e-9) ** 2)], 1), (3, [1.0, 0.0], 2), (4, [s - 1e-9, math.sqrt(1 - (s - 1e-9) ** 2)], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(embeddings.near_duplicates(df)) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+
+
+def test_one_large_group(spark):
+    """A third of all rows close to each other, all of them different."""
+    rng = np.random.default_rng(9)
+    far = rng.standard_normal((600, 32))
+    near = rng.standard_normal(32) + rng.standard_normal((300, 32)) * 0.1
+    rows = [(k, tuple(x.astype(np.float32).tolist()), 1) for k, x in enumerate(np.concatenate([far, near]))]
+    assert got(embeddings.near_duplicates(table(spark, rows), block_rows=64, whole_run=50)) == brute(rows)
 
 
 def test_empty_repeats_and_null_ids(spark, tmp_path):
