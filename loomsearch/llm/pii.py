@@ -24,8 +24,7 @@ and ``sanitise`` replaces it by a general class, as it does with entities.
 Everything is column expressions.  Entity texts that are copies are examined
 once, with their number.  Entities that occur in the same documents have the
 same terms, so that they are counted as one class, however many a document
-lists.  Terms that could not pass even if they occurred nowhere else need no
-count over all words.  Positions come from the pieces between matches, whose
+lists.  Positions come from the pieces between matches, whose
 lengths add up; the patterns are written with possessive repeats and
 look-behinds that skip only starts from which a match would have begun
 earlier, so that no text makes them slow.
@@ -44,7 +43,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, as_row, let, materialize, read, small_side, whole_text
+from .common import Scratch, as_row, let, materialize, read, small_side, whole_text
 
 LOCAL = r"A-Za-z0-9._%+-"
 #: kind -> (pattern, a cheap test that any text with a match passes).
@@ -157,18 +156,12 @@ def disclosive(docs: DataFrame, n: float, found: DataFrame, classes: DataFrame,
     tests = classes.join(found.select("h", F.size("terms").alias("m")), "h").groupBy("class").agg(F.sum("m").alias("tests"))
     met = classes.join(found, "h").select("class", "n_c", "times", F.explode("terms").alias("term"))
     met = met.groupBy("class", "n_c", "term").agg(F.sum("times").alias("n_ct")).where(F.col("n_ct") > 1).join(tests, "class")
-    # a term occurs in no fewer documents than it does in those with entities: what falls short with that number needs no count over all words
+    # a term occurs in no fewer documents than it does in those with entities: what falls short with that number goes at once
     met = met.where(_too_much(n, F.col("n_ct"), alpha, level))
     near = found.select("times", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("times").alias("n_near"))
     met = scratch.keep(met.join(near, "term").where(_too_much(n, F.col("n_near"), alpha, level)).drop("n_near"), "pii-pairs")
-    asked = scratch.keep(met.select("term").distinct(), "pii-terms")
-    n_asked = asked.count()
-    if not n_asked:
-        return met.select("class", "term")
     words = docs.select(F.explode(terms(whole_text())).alias("term"))
-    if n_asked <= BROADCAST_ROWS:  # else words are counted before they are exchanged
-        words = words.join(F.broadcast(asked), "term", "left_semi")
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # combined before the exchange: each task sends a word once
     return met.join(n_t, "term").where(_too_much(n, F.col("n_t"), alpha, level)).select("class", "term")
 
 
