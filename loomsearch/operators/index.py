@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokenize
@@ -32,12 +34,6 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def doc_phrases(docs: DataFrame) -> DataFrame:
-    """(id, phrase, n): runs of 2 to 4 tokens of title, description and content, each on its own."""
-    own = [ngrams(tokenize(F.col(c)), 2, 4) for c in ("title", "description", "content")]
-    return docs.select("id", F.explode(F.concat(*own)).alias("phrase")).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("n"))
-
-
 def phrase_stats(docs: DataFrame) -> DataFrame:
     """(phrase, freq) over all documents, aggregated without a per-document step."""
     own = [ngrams(tokenize(F.col(c)), 2, 4) for c in ("title", "description", "content")]
@@ -90,6 +86,86 @@ def bm25(index: Index, terms: list[str]) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(weight * part).alias("score"))
 
 
+#: Segments of a stored index that are read together at most; more are merged into one.
+MAX_SEGMENTS = 8
+
+
+class IndexStore:
+    """An index in a folder, built once and added to by segments.
+
+    A segment holds the documents of one batch, their postings clustered by
+    term, the ids that it replaces, and what it changes of the counts of terms,
+    phrases and documents.  Reading unites the segments; a replaced document's
+    rows are those of an earlier segment than that which names its id.  So a
+    batch costs what it holds, not what the corpus does.  A segment counts once
+    its last table is complete; a batch that is repeated replaces its own
+    documents and has the same effect.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = MAX_SEGMENTS) -> None:
+        self.spark, self.path, self.most = spark, path.rstrip("/"), most
+
+    def segments(self) -> list[int]:
+        """The complete segments since the last merged one, in order."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        of = jvm.org.apache.hadoop.fs.Path
+        names = sorted((int(n[1:]), n[0]) for n in (x.getPath().getName() for x in fs.listStatus(root)) if n[0] in "sm" and n[1:].isdigit() and fs.exists(of(f"{self.path}/{n}/corpus/_SUCCESS")))
+        first = max((k for k, (_, kind) in enumerate(names) if kind == "m"), default=0)
+        self.kinds = {n: kind for n, kind in names[first:]}
+        return list(self.kinds)
+
+    def _read(self, table: str, segments: list[int]) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.path}/{self.kinds[n]}{n}/{table}").withColumn("segment", F.lit(n)) for n in segments]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _live(self, rows: DataFrame, segments: list[int]) -> DataFrame:
+        if len(segments) == 1:
+            return rows.drop("segment")
+        dead = self._read("dead", segments).groupBy("id").agg(F.max("segment").alias("until"))
+        return rows.join(dead, (rows["id"] == dead["id"]) & (rows["segment"] < dead["until"]), "left_anti").drop("segment")
+
+    def docs(self) -> DataFrame | None:
+        segments = self.segments()
+        return self._live(self._read("docs", segments), segments) if segments else None
+
+    def index(self) -> Index:
+        segments = self.segments()
+        live = lambda table: self._live(self._read(table, segments), segments)
+        total = lambda table, key, n: self._read(table, segments).groupBy(key).agg(F.sum(n).alias(n)).where(F.col(n) > 0)
+        corpus = self._read("corpus", segments).agg(F.sum("n_docs").alias("n_docs"), (F.sum("length") / F.sum("n_docs")).alias("avgdl"))
+        return Index(live("docs"), live("postings"), live("doc_stats"), corpus, total("terms", "term", "df"), total("phrases", "phrase", "freq"))
+
+    def append(self, new: DataFrame) -> None:
+        """Adds documents, one for each id; those of known ids replace the old ones."""
+        segments, old = self.segments(), self.docs()
+        gone = new.limit(0) if old is None else old.join(new.select("id"), "id", "left_semi").select(*new.columns)
+        self._write(f"s{(segments[-1] if segments else 0) + 1}", new, gone)
+        if len(segments) + 1 > self.most:
+            self.merge()
+
+    def merge(self) -> None:
+        """Writes all segments as one."""
+        docs = self.docs()
+        self._write(f"m{self.segments()[-1] + 1}", docs, docs.limit(0))
+
+    def _write(self, name: str, new: DataFrame, gone: DataFrame) -> None:
+        def change(of: Callable[[DataFrame], DataFrame], key: str, n: str) -> DataFrame:
+            both = of(new).unionByName(of(gone).withColumn(n, -F.col(n)))
+            return both.groupBy(key).agg(F.sum(n).alias(n)).where(F.col(n) != 0).repartitionByRange(key).sortWithinPartitions(key)
+
+        count = lambda docs: docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("l"))
+        tables = {
+            "docs": new, "postings": postings(new).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "doc_stats": doc_stats(new), "dead": gone.select("id"), "terms": change(term_stats, "term", "df"),
+            "phrases": change(phrase_stats, "phrase", "freq"), "corpus": count(new).crossJoin(count(gone).toDF("gone_n", "gone_l")).select((F.col("n") - F.col("gone_n")).alias("n_docs"), (F.col("l") - F.col("gone_l")).alias("length")),
+        }
+        for table, df in tables.items():  # the last one makes the segment count
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/{table}")
+
+
 def upsert(index_docs: DataFrame, new: DataFrame) -> DataFrame:
     """Documents after ``new`` replaced or joined those of the same id."""
     return index_docs.join(new.select("id"), "id", "left_anti").unionByName(new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TTL_SECONDS = 120
@@ -28,15 +28,17 @@ def replay(log: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     """(key, at, hit): whether each request found the answer that the last miss had filled in.
 
     A hit does not extend an entry's life, so the requests of a key are a chain
-    that is walked in time order.  A key's chain can be long: it is walked in
-    sorted batches that carry only the time of the last miss.
+    that is walked in time order.  After a stretch of time of the length ``ttl``
+    without a request of the key, the next one is a miss whatever came before:
+    chains are cut there, and their parts walked in different tasks, in sorted
+    batches that carry only the time of the last miss.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, filled = None, 0.0
+        key, filled = (None, None), 0.0
         for pdf in batches:
             hits = []
-            for k, at in zip(pdf["key"], pdf["seconds"], strict=True):
+            for *k, at in zip(pdf["key"], pdf["chain"], pdf["seconds"], strict=True):
                 if k == key and at - filled <= ttl:
                     hits.append(True)
                 else:
@@ -46,4 +48,11 @@ def replay(log: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
 
     rows = log.select("key", "at", F.col("at").cast("timestamp").cast("double").alias("seconds"), F.xxhash64("key", "at").alias("tie"))
     kind = log.schema["at"].dataType.simpleString()
-    return rows.repartition("key").sortWithinPartitions("key", "seconds", "tie").mapInPandas(run, f"key string, at {kind}, hit boolean")
+    rows = rows.withColumn("slot", F.floor(F.col("seconds") / ttl))
+    # (key, slot) with requests, combined before the exchange; a slot opens a chain if the one before it has none
+    slots = rows.select("key", "slot").distinct()
+    w = Window.partitionBy("key").orderBy("slot")
+    opens = F.when(F.lag("slot").over(w) == F.col("slot") - 1, None).otherwise(F.col("slot"))
+    chains = slots.withColumn("opens", opens).select("key", "slot", F.last("opens", ignorenulls=True).over(w).alias("chain"))
+    rows = rows.join(chains, ["key", "slot"])
+    return rows.repartition("key", "chain").sortWithinPartitions("key", "chain", "seconds", "tie").mapInPandas(run, f"key string, at {kind}, hit boolean")

@@ -49,6 +49,10 @@ def presented(page: DataFrame, query: str, parsed: Query) -> DataFrame:
     return page.withColumns(shown)
 
 
+#: Code points of snippets that a summarizer is sent at most.
+SUMMARY_CHARS = 1 << 20
+
+
 @dataclass
 class Response:
     """Scalars of a search and its tables, which are evaluated when they are asked for."""
@@ -67,6 +71,12 @@ class Response:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     answer: dict | None = None
 
+    def release(self) -> None:
+        """Frees what executors hold of it; its tables are evaluated anew when they are asked for again."""
+        for df in (self.rows, self.page):
+            if df is not None:
+                df.unpersist()
+
 
 def search(index: Index, query: str, limit: int = 10, options: Options | None = None, as_of: Column | None = None, summarize=None) -> Response:
     as_of = F.current_timestamp() if as_of is None else as_of
@@ -87,12 +97,25 @@ def search(index: Index, query: str, limit: int = 10, options: Options | None =
     shown = page.orderBy("pos").select("title", "url", "snippet").collect()  # one page
     if shown:
         snippets = [r["snippet"].strip() for r in shown if r["snippet"].strip()]
-        out.answer = answered(normalized, snippets, out.count, summarize) | {"citations": [{"title": r["title"], "url": r["url"]} for r in shown[:3]], "related_questions": people_also_ask(normalized, [r["title"] for r in shown])}
+        points = snippets if summarize is None else evidence(rows, normalized, options)
+        out.answer = answered(normalized, points, out.count, summarize) | {"citations": [{"title": r["title"], "url": r["url"]} for r in shown[:3]], "related_questions": people_also_ask(normalized, [r["title"] for r in shown])}
+    return out
+
+
+def evidence(rows: DataFrame, query: str, options: Options) -> list[str]:
+    """The snippets of all results in order, as many as a summarizer's request of ``SUMMARY_CHARS`` takes."""
+    out, size = [], 0
+    for r in rows.select(*[F.col(c) for c in ("id", "score", "trust", "crawled_at")], snippet(F.col("content"), query, tokens(query)).alias("s")).orderBy(*R.order(options.sort_by)).select("s").toLocalIterator():
+        size += len(r["s"])
+        if size > SUMMARY_CHARS:
+            break
+        if r["s"].strip():
+            out.append(r["s"].strip())
     return out
 
 
 def answered(query: str, snippets: list[str], count: int, summarize=None) -> dict:
-    """What ``summarize`` says of the page's snippets, or the plain summary without one or when it fails."""
+    """What ``summarize`` says of the results' snippets, or the plain summary without one or when it fails."""
     if summarize is not None:
         try:
             return summarize(query, snippets, count)

@@ -14,8 +14,8 @@ ROBOTS_CHARS, SITEMAP_CHARS = 256 << 10, 512 << 10
 
 
 def robots_rules(body: str) -> list[tuple[str, str]]:
-    """(agent, disallow) pairs; each agent line starts its own group."""
-    agent, out = "", []
+    """(agent, disallow) pairs; each agent line starts its own group, and what comes before the first is for all agents."""
+    agent, out = "*", []
     for line in body[:ROBOTS_CHARS].splitlines():
         name, colon, value = line.strip().partition(":")
         name, value = name.strip().lower(), value.strip()
@@ -24,13 +24,13 @@ def robots_rules(body: str) -> list[tuple[str, str]]:
         if name == "user-agent":
             agent = value.lower()
             out.append((agent, ""))
-        elif name == "disallow" and agent and value:
+        elif name == "disallow" and value:
             out.append((agent, value))
     return out
 
 
 def rules(robots: DataFrame) -> DataFrame:
-    """(host, agent, disallow) from robots files (host, body, status); a missing file allows all."""
+    """(host, agent, disallow) from robots files (host, body, status); a missing file (404) allows all, for others see ``unreadable``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -40,6 +40,13 @@ def rules(robots: DataFrame) -> DataFrame:
     return robots.where("status < 400").select("host", "body").mapInPandas(run, "host string, agent string, disallow string")
 
 
+def unreadable(robots: DataFrame) -> DataFrame:
+    """(host, error) of the hosts whose robots file could not be had, so that nothing of theirs may be fetched."""
+    status = F.concat(F.lit("robots.txt: unexpected status "), F.col("status").cast("string"))
+    failed = robots.where("status IS NULL OR status >= 400 AND status <> 404")
+    return failed.select("host", F.when(F.col("status").isNull(), F.lit("robots.txt: no answer")).otherwise(status).alias("error"))
+
+
 def rules_for(all_rules: DataFrame, user_agent: str) -> DataFrame:
     """(host, disallow) of the group that fits: the exact agent, else the longest one inside the name, else ``*``."""
     name = user_agent.lower()

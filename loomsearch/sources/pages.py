@@ -1,7 +1,13 @@
-"""Documents from raw pages: an Arrow function around the standard HTML parser."""
+"""Documents from raw pages: an Arrow function around the standard HTML parser.
+
+Defined results: a null or empty page has empty parts; a first title,
+description or canonical link that is empty gives way to a later one; markup
+that the parser does not take gives its text without tags.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -42,9 +48,9 @@ class Parts(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k.lower(): v or "" for k, v in reversed(attrs)}
-        if tag == "meta" and self.description is None and (a.get("name", "").lower() == "description" or a.get("property", "").lower() == "og:description"):
+        if tag == "meta" and not self.description and (a.get("name", "").lower() == "description" or a.get("property", "").lower() == "og:description"):
             self.description = " ".join(a.get("content", "").split())
-        elif tag == "link" and self.canonical is None and "canonical" in a.get("rel", "").lower().split() and a.get("href", "").strip():
+        elif tag == "link" and not self.canonical and a.get("rel", "").strip().lower() == "canonical" and a.get("href", "").strip():
             self.canonical = absolute(self.base, a["href"])
         elif tag == "a" and a.get("href", "").strip():
             full = absolute(self.base, a["href"], keep_fragment=True)
@@ -56,7 +62,7 @@ class Parts(HTMLParser):
             self.handle_endtag(self.stack[-1])
         self.stack.append(tag)
         self.skipped += tag in SKIPPED
-        if tag == "title" and self.title is None or tag in ("h1", "h2", "h3", "h4"):
+        if tag == "title" and not self.title or tag in ("h1", "h2", "h3"):
             self.held.append((tag, []))
 
     def handle_endtag(self, tag: str) -> None:
@@ -69,7 +75,7 @@ class Parts(HTMLParser):
                 _, parts = self.held.pop()
                 words = " ".join(unescape(" ".join(parts)).split())
                 if t == "title":
-                    self.title = words if self.title is None else self.title
+                    self.title = self.title or words
                 elif words and words not in self.headings:
                     self.headings.append(words)
             if t == tag:
@@ -83,12 +89,12 @@ class Parts(HTMLParser):
 
 
 def parts_of(html: str | None, url: str | None) -> tuple:
-    p = Parts(url or "")
+    p, html = Parts(url or ""), (html or "").encode(errors="ignore").decode()
     try:
-        p.feed((html or "").encode(errors="ignore").decode())
+        p.feed(html)
         p.close()
-    except (AssertionError, ValueError):
-        pass
+    except (AssertionError, ValueError):  # markup that the parser does not take: its text without tags
+        return "", "", "", " ".join(re.sub("<[^>]*>", " ", html).split()), [], list(dict.fromkeys(p.links))
     while p.stack:
         p.handle_endtag(p.stack[-1])
     return p.title or "", p.description or "", p.canonical or "", " ".join(p.text), p.headings, list(dict.fromkeys(p.links))

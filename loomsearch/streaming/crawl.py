@@ -18,13 +18,14 @@ def ingest(spark: SparkSession, requests: str, store: ParquetStore, jobs: str, c
     """Reads request files (job_id, url, html) as they arrive; every micro-batch upserts its new documents.
 
     A batch writes a job row with its counts or its error.  An empty page is an
-    issue of its url and does not stop the others.  A batch that is repeated
-    after a failure finds its documents in the store under the same ids and
+    issue of its url and does not stop the others.  A batch that fails stops the
+    stream once its job row says why: the checkpoint repeats it, so that no page
+    is lost.  It then finds its documents in the store under the same ids and
     writes them again, so that it has the same effect.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        batch, failure = batch.persist(), None
         try:
             fine = batch.where("html <> ''")
             docs = to_documents(fine)
@@ -37,11 +38,14 @@ def ingest(spark: SparkSession, requests: str, store: ParquetStore, jobs: str, c
             store.save(new)
             row = batch.groupBy("job_id").agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.coalesce(F.col("html"), F.lit("")) == "").alias("issues"))
             row = row.withColumns({"status": F.lit("completed"), "error": F.lit(""), "duplicates": F.lit(copies), "epoch": F.lit(epoch)})
-        except Exception as e:  # the job fails, the stream goes on
+        except Exception as e:
+            failure = e
             row = batch.groupBy("job_id").agg(F.count(F.lit(1)).alias("urls"), F.lit(0).cast("long").alias("issues"))
             row = row.withColumns({"status": F.lit("failed"), "error": F.lit(str(e)[:500]), "duplicates": F.lit(0), "epoch": F.lit(epoch)})
         row.write.mode("overwrite").json(f"{jobs}/epoch={epoch}")
         batch.unpersist()
+        if failure is not None:
+            raise failure
 
     stream = spark.readStream.schema(REQUEST).json(requests)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -29,6 +29,21 @@ def test_long_pages_are_read_to_their_end():
     assert headings == ["Last head"] and links == ["https://e.org/end"] and content.endswith("end") and "closing words" in content
 
 
+def test_later_parts_replace_empty_ones():
+    said = lambda html: pages.parts_of(html, "https://e.org/")
+    assert said("<h1>A</h1><h4>Fourth</h4><h2>B</h2>")[4] == ["A", "B"]
+    title, description, canonical, *_ = said('<title> </title><title>Second</title><meta name=description content=""><meta property=og:description content="og"><link rel="canonical nofollow" href=/x><link rel=Canonical href=/y>')
+    assert (title, description, canonical) == ("Second", "og", "https://e.org/y")
+
+
+def test_markup_that_no_parser_takes(monkeypatch):
+    def broken(self, data):
+        raise AssertionError
+
+    monkeypatch.setattr(pages.Parts, "feed", broken)
+    assert pages.parts_of("<p>a <b>b</b>\n c</p>", "https://e.org/") == ("", "", "", "a b c", [], [])
+
+
 def test_page_documents(spark):
     df = spark.createDataFrame([("https://Example.com/dir/page", PAGE), ("https://e.org/x", "<p>no title</p>")], "url string, html string")
     a, b = pages.documents(df, F.lit(NOW)).orderBy(F.desc("title")).collect()
@@ -53,6 +68,7 @@ def test_robots(spark):
     robots = spark.createDataFrame([("h", body, 200), ("gone", "x", 404)], "host string, body string, status int")
     rules = crawling.rules(robots)
     of = lambda agent: sorted(tuple(r) for r in crawling.rules_for(rules, agent).collect())
+    assert crawling.robots_rules("Disallow: /early\nUser-agent: x\nDisallow: /late") == [("*", "/early"), ("x", ""), ("x", "/late")]
     assert of("loombot") == [("h", "/bots")] == of("LoomBot/1.0") and of("other") == [("h", "/all")]
 
 

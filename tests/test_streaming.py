@@ -2,6 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from loomsearch.operators import log
 from loomsearch.sources import pages
 from loomsearch.sources.stores import ParquetStore
@@ -38,7 +41,9 @@ def test_a_failing_batch_is_a_failed_job(spark, tmp_path):
     def broken(df):
         raise RuntimeError("store is gone")
 
-    crawl.ingest(spark, str(requests), ParquetStore(spark, str(tmp_path / "s")), str(jobs), str(tmp_path / "c"), broken).awaitTermination(120)
+    stream = crawl.ingest(spark, str(requests), ParquetStore(spark, str(tmp_path / "s")), str(jobs), str(tmp_path / "c"), broken)
+    with pytest.raises(StreamingQueryException):  # the checkpoint repeats the batch, so that its pages are not lost
+        stream.awaitTermination(120)
     row = spark.read.json(str(jobs)).first()
     assert row["status"] == "failed" and "gone" in row["error"]
 
