@@ -287,18 +287,56 @@ def result_strength(spark, sf_dir):
     return search.ranked(corpus(spark, sf_dir), WORDS, Q.parse(WORDS), catalog.as_of(), with_links=False).select("id", signals.strength().alias("strength"))
 
 
-def s_authority(steps: int = authority.STEPS) -> str:
-    ctes = [DOCS, "n AS (SELECT count(*)::DOUBLE AS n FROM docs)", "e AS (SELECT s.id AS src, d.id AS dst FROM (SELECT id, unnest(links) AS url FROM docs) s JOIN docs d ON s.url = d.url WHERE s.id <> d.id)", "fan AS (SELECT src, count(*) AS fan FROM e GROUP BY src)", "r0 AS (SELECT id, 1 / n AS score FROM docs, n)"]
+def s_ranks(docs: str = "docs", steps: int = authority.STEPS) -> str:
+    """The CTEs n, e, fan and r0 to r{steps}: link scores among the rows of ``docs``."""
+    ctes = [f"n AS (SELECT count(*)::DOUBLE AS n FROM {docs})", f"e AS (SELECT s.id AS src, d.id AS dst FROM (SELECT id, unnest(links) AS url FROM {docs}) s JOIN {docs} d ON s.url = d.url WHERE s.id <> d.id)", "fan AS (SELECT src, count(*) AS fan FROM e GROUP BY src)", f"r0 AS (SELECT id, 1 / n AS score FROM {docs}, n)"]
     for k in range(steps):
-        ctes.append(f"r{k + 1} AS (SELECT d.id, 0.15 / n + 0.85 / n * (SELECT coalesce(sum(score), 0) FROM r{k} WHERE id NOT IN (SELECT src FROM fan)) + coalesce(g, 0) AS score FROM docs d CROSS JOIN n LEFT JOIN (SELECT dst, sum(0.85 * score / fan) AS g FROM r{k} JOIN fan ON id = fan.src JOIN e ON e.src = id GROUP BY dst) x ON x.dst = d.id)")
-    return f"WITH {', '.join(ctes)} SELECT id, round(score / (SELECT max(score) FROM r{steps}), 6) AS authority FROM r{steps}"
+        ctes.append(f"r{k + 1} AS (SELECT d.id, 0.15 / n + 0.85 / n * (SELECT coalesce(sum(score), 0) FROM r{k} WHERE id NOT IN (SELECT src FROM fan)) + coalesce(g, 0) AS score FROM {docs} d CROSS JOIN n LEFT JOIN (SELECT dst, sum(0.85 * score / fan) AS g FROM r{k} JOIN fan ON id = fan.src JOIN e ON e.src = id GROUP BY dst) x ON x.dst = d.id)")
+    return ", ".join(ctes)
 
 
-@register(s_authority())
+LAST = f"r{authority.STEPS}"
+
+
+@register(f"WITH {DOCS}, {s_ranks()} SELECT id, round(score / (SELECT max(score) FROM {LAST}), 6) AS authority FROM {LAST}")
 def link_authority(spark, sf_dir):
     return authority.authority(catalog.documents(spark, sf_dir).select("id", "url", "links")).select("id", F.round("authority", 6).alias("authority"))
 
 
+ASKED = "eringg tiom inurl:news"
+
+
+def s_end_to_end(raw: str, limit: int) -> str:
+    """A whole search in SQL: spelling, scores, link authority among the candidates, signals, filters, and one page."""
+    p = Q.parse(raw)
+    asked = ", ".join(f"({i}, '{t}')" for i, t in enumerate(Q.tokens(p.cleaned)))
+    each = lambda test, weight: f"(SELECT coalesce(sum(CASE WHEN {test} THEN {weight}::DOUBLE END), 0) FROM q)"
+    of_url = s_sum([s_if(f"contains(lower(url), '{t}')", 0.25) for t in p.url_terms])
+    return f"""WITH {DOCS}, v AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(terms) AS term FROM docs) GROUP BY term),
+asked(pos, token) AS (VALUES {asked}),
+near AS (SELECT pos, term, row_number() OVER (PARTITION BY pos ORDER BY levenshtein(term, token), df DESC, term) AS rn FROM asked, v WHERE levenshtein(term, token) <= 2),
+q AS (SELECT asked.pos, coalesce(term, token) AS term FROM asked LEFT JOIN near ON asked.pos = near.pos AND rn = 1),
+normal AS (SELECT string_agg(term, ' ' ORDER BY pos) AS low FROM q),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY ALL),
+corpus AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avgdl FROM docs),
+base AS (SELECT tf.id, sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.terms) / avgdl))) AS base_score
+  FROM q JOIN tf USING (term) JOIN v USING (term) JOIN docs d ON d.id = tf.id, corpus GROUP BY tf.id),
+cand AS (SELECT d.*, base_score FROM base JOIN docs d USING (id)), {s_ranks("cand")},
+signals AS (SELECT cand.*, 0.5 * {LAST}.score / (SELECT max(score) FROM {LAST}) AS authority_boost, {each("contains(lower(title), q.term)", 0.35)} AS title_boost,
+  (SELECT coalesce(sum(len(list_filter(headings, lambda h: contains(lower(h), q.term))) * 0.22::DOUBLE), 0) FROM q) AS heading_boost, {each("contains(lower(description), q.term)", 0.15)} + {of_url} AS description_boost,
+  CASE WHEN contains(lower(title), low) THEN 1.25::DOUBLE WHEN contains(lower(content), low) THEN 0.65::DOUBLE ELSE 0.0::DOUBLE END AS phrase_boost, {S_FRESH} AS freshness_boost
+  FROM cand JOIN {LAST} USING (id), normal),
+trusted AS (SELECT *, round(base_score + authority_boost + heading_boost + title_boost + description_boost + phrase_boost + freshness_boost, 9) AS score, {S_TRUST} AS trust FROM signals),
+res AS (SELECT * FROM trusted WHERE contains(lower(url), 'news')), {s_diverse()}, {s_page(limit=limit)}
+SELECT pos, id, (SELECT low FROM normal) AS normalized_query, round(authority_boost, 6) AS authority_boost, round(score, 6) AS score, trust FROM page"""
+
+
+@register(s_end_to_end(ASKED, 20))
+def search_end_to_end(spark, sf_dir):
+    out = search.search(corpus(spark, sf_dir), ASKED, 20, as_of=catalog.as_of())
+    return out.page.select(F.col("pos").cast("long").alias("pos"), "id", F.lit(out.normalized_query).alias("normalized_query"), F.round("authority_boost", 6).alias("authority_boost"), F.round("score", 6).alias("score"), F.col("trust.value").cast("long").alias("trust"))
+
+
 # --- filters ----------------------------------------------------------------------------------------------------------
 
 FULL = "lower(concat_ws(' ', title, description, content))"
@@ -308,9 +346,9 @@ FILTERS = {
     "filter_exclude": ("ering -nicht -tion.", f"NOT contains({FULL}, 'nicht') AND NOT contains({FULL}, 'tion.')"),
     "filter_title": ("intitle:th ering", "contains(lower(title), 'th')"),
     "filter_inurl": ("inurl:news ering", "contains(lower(url), 'news')"),
-    "filter_filetype": ("filetype:.PDF filetype:html ering", f"{FILE_TYPE} IN ('pdf', 'html')"),
+    "filter_filetype": ("filetype:.PDF ering", f"{FILE_TYPE} = 'pdf'"),
     "filter_date_range": ("after:2024-01-02 before:2024-01-19 ering", "crawled_at >= TIMESTAMP '2024-01-02' AND crawled_at < TIMESTAMP '2024-01-20'"),
-    "filter_all": ('site:example.com inurl:a "of the" -nicht after:2023-12-01', f"ends_with(domain, '.example.com') AND contains(lower(url), 'a') IS NOT NULL AND contains({FULL}, 'of the') AND NOT contains({FULL}, 'nicht') AND crawled_at >= TIMESTAMP '2023-12-01'"),
+    "filter_all": ('site:example.com inurl:site1 "of the" -nicht after:2023-12-01', f"ends_with(domain, '.example.com') AND contains(lower(url), 'site1') AND contains({FULL}, 'of the') AND NOT contains({FULL}, 'nicht') AND crawled_at >= TIMESTAMP '2023-12-01'"),
 }
 
 
