@@ -34,10 +34,11 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def phrase_stats(docs: DataFrame) -> DataFrame:
-    """(phrase, freq) over all documents, aggregated without a per-document step."""
-    own = [ngrams(tokenize(F.col(c)), 2, 4) for c in ("title", "description", "content")]
-    return docs.select(F.explode(F.concat(*own)).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("freq"))
+def phrase_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """(phrase, freq) over all documents, aggregated without a per-document step; others than those with the prefix make no rows."""
+    own = F.concat(*[ngrams(tokenize(F.col(c)), 2, 4) for c in ("title", "description", "content")])
+    own = F.filter(own, lambda p: p.startswith(prefix)) if prefix else own
+    return docs.select(F.explode(own).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def index_stats(docs: DataFrame) -> DataFrame:

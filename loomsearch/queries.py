@@ -211,13 +211,13 @@ SELECT value, n, words FROM both_ ORDER BY words DESC, phrase {'DESC' if n > 1 e
 @register(s_complete("er", 10))
 def suggest_term(spark, sf_dir):
     docs = catalog.documents(spark, sf_dir)
-    return suggest.completions(index.term_stats(docs), index.phrase_stats(docs), "er", 10)
+    return suggest.completions(index.term_stats(docs), index.phrase_stats(docs, "er"), "er", 10)
 
 
 @register(s_complete("ering th", 10))
 def suggest_phrase(spark, sf_dir):
     docs = catalog.documents(spark, sf_dir)
-    return suggest.completions(index.term_stats(docs), index.phrase_stats(docs), "ering th", 10)
+    return suggest.completions(index.term_stats(docs), index.phrase_stats(docs, "ering th"), "ering th", 10)
 
 
 MISSPELT = ["erring", "tiom", "nichtt", "zzzzzzzzz"]
