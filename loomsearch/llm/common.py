@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_open: list[Scratch] = []
 #: Largest row count that is ever sent to all executors as a join side.
 BROADCAST_ROWS = 50_000
 
@@ -61,9 +62,13 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: the lineage ends there.
 
-    The file survives lost executors, and its size is known to the planner.
+    The file survives lost executors, and its size is known to the planner.  It
+    goes with the ``Scratch`` that is open, if one is.
     """
-    return stored(df, name)[0]
+    out, path = stored(df, name)
+    if _open:
+        _open[-1].paths.append(path)
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -73,11 +78,26 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables in the shared folder that are removed together once nothing reads them."""
+    """Tables in the shared folder that are removed together once nothing reads them.
+
+    As a context it takes what ``materialize`` writes meanwhile; ``result`` writes
+    what is read later on.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        self.drop()
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name)[0]
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         out, path = stored(df, name)
         self.paths.append(path)

@@ -137,14 +137,14 @@ def sketches(classes: DataFrame, lines: int, searched: int) -> DataFrame:
     return classes.select("label", "size", "node", "embedding").mapInArrow(run, f"label {kind}, size int, node long, ends binary, values array<float>")
 
 
-def dealt(sketched: DataFrame, lines: int, whole_run: int) -> DataFrame:
+def dealt(sketched: DataFrame, lines: int, whole_run: int, scratch: Scratch) -> DataFrame:
     """(cell, side, value, node, ends): rows of the runs; a long run is cut into blocks, and each two of them are a cell."""
     width = 4 if 2 * lines > 1 << 16 else 2 if lines > 128 else 1
     end = F.substring("ends", F.col("table") * width + 1, F.lit(width))
     rows = sketched.select("label", "size", "node", "ends", F.posexplode("values").alias("table", "value"))
     rows = rows.select(F.xxhash64("label", "size", "table", end).alias("run"), "node", "ends", "value")
     long_ = sketched.select("label", "size", "ends", F.posexplode("values").alias("table", "value")).groupBy(F.xxhash64("label", "size", "table", end).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-    long_ = materialize(long_.where(F.col("n") > whole_run).select("run", F.ceil(F.col("n") / whole_run).cast("int").alias("blocks")), "long-runs")
+    long_ = scratch.keep(long_.where(F.col("n") > whole_run).select("run", F.ceil(F.col("n") / whole_run).cast("int").alias("blocks")), "long-runs")
     n_long = long_.count()
     if not n_long:
         return rows.select(F.col("run").alias("cell"), F.lit(0).alias("side"), "value", "node", "ends")
@@ -226,10 +226,10 @@ def compared(b: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarra
     return node[some], node[root[some]], n[some]
 
 
-def links(members: DataFrame, classes: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+def links(members: DataFrame, classes: DataFrame, threshold: float, block_rows: int, scratch: Scratch) -> DataFrame:
     """(node, root, n) of the classes that are linked, from the components (node, root) of candidates."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(sizes.where(F.col("n") > block_rows).select("root", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "large-components")
+    large = scratch.keep(sizes.where(F.col("n") > block_rows).select("root", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "large-components")
     rows = members.join(small_side(large, large.count()), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -270,10 +270,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     rate = collision_rate(lines, threshold)
     searched, need = searched_tables(rate), least_count(rate)
     sketched = scratch.keep(sketches(classes, lines, searched), "embedding-sketches")
-    forest = scratch.keep(candidates(dealt(sketched, lines, whole_run), n * searched, lines, half_window(threshold), need), "embedding-candidates")
+    forest = scratch.keep(candidates(dealt(sketched, lines, whole_run, scratch), n * searched, lines, half_window(threshold), need), "embedding-candidates")
     found = scratch.keep(components(forest), "embedding-groups")
     members = scratch.keep(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "embedding-members")
-    linked = scratch.keep(links(members, classes, threshold, block_rows), "embedding-links")
+    linked = scratch.keep(links(members, classes, threshold, block_rows, scratch), "embedding-links")
     roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     n_links = linked.groupBy("node").agg(F.sum("n").alias("n"))
     own = classes.select("node", "h0", "h1", "first", "times").join(n_links, "node", "left").join(roots, "node", "left")

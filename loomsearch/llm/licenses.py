@@ -12,8 +12,9 @@ vocabulary (length filter), and the tokens after the first common one suffice
 The templates are constants of this module, so everything derived from them
 (vocabulary, document frequencies, prefixes) has a fixed size.  Defined
 results: a null or empty text has no words, null first_word and last_word,
-empty labels and score 0; repeated rows are each scanned; other columns are
-ignored.
+empty labels and score 0; a very long text is scanned whole; words of equal
+document frequency are ordered by themselves; repeated rows are each scanned; no
+rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Runs of several marks and code points that the vocabulary lacks are merged
 the plain way or written as bytes.
 
 Defined results: a null or empty text has no ids and decodes to the empty
-string; repeated rows are encoded each; other columns are ignored.
+string; a very long text is encoded whole, in a batch of its own; pairs of equal
+rank are merged from the left; repeated rows are encoded each; no rows give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

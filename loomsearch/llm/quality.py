@@ -7,7 +7,9 @@ its end on the other part, and the rows it covers are set aside before the
 next rule is grown.  What comes out is an ordered CASE expression.
 
 Defined results: a null text counts as an empty one and fails the fixed limit;
-repeated rows are judged one by one; without labelled rows of both kinds no
+a very long text is counted whole; of conditions that gain equally, the first
+feature's lowest threshold is taken, and of prunings the longest rule; a
+document with both labels counts as bad; repeated rows are judged one by one; without labelled rows of both kinds no
 rule is learned and only the fixed limits decide; columns that the operator
 does not need are ignored, whatever their names.
 """

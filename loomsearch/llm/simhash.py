@@ -15,7 +15,8 @@ of linked fingerprints is lost, and a task emits a spanning forest of what it
 links, not all pairs.
 
 Defined results: a null or empty text has no shingle and fingerprint zero,
-which links like any other; texts of one or two words have one shingle;
+which links like any other; texts of one or two words have one shingle; a very
+long text is hashed whole; a bit that half of the hashes have is 0;
 component_id is the smallest doc_id of the component, null only if all of them
 are null; repeated rows each come back; other columns are ignored.
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, materialize, read, shuffle_width, small_side, whole_text
+from .common import Scratch, as_row, materialize, read, shuffle_width, small_side, whole_text
 from .components import components, merge
 
 RADIUS, BLOCKS, FAN = 3, 4, 8
@@ -229,7 +230,8 @@ def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
-    rows = materialize(cluster(docs, size), "clusters")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.result(cluster(docs, size), "clusters")
     # written, so that the join has exchanges of its own, of which a very large component's can be split
     ids = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
     return rows.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -237,17 +239,18 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, one for each; of repeated rows, one."""
-    return keep_least(docs, cluster(docs, size))
+    with Scratch(docs.sparkSession) as scratch:
+        return keep_least(docs, cluster(docs, size), scratch)
 
 
-def keep_least(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+def keep_least(docs: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
     """One row of ``docs`` for each root of ``clusters`` (doc_id, text_hash, root): the one with the smallest doc_id."""
     rows = materialize(clusters, "clusters")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))).alias("b")
     kept = rows.groupBy("root").agg(best).select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__h"))
     times = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("__n")).select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__k"), "__n")
     kept = kept.join(times, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k"))).drop("__i", "__k").distinct()
-    kept = materialize(kept, "kept")
+    kept = scratch.result(kept, "kept")
     docs = as_row(docs, "doc_id", F.xxhash64(whole_text()).alias("__k"))
     own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h"))
     once = docs.join(kept.where("__n = 1"), own, "left_semi").select("__row.*")

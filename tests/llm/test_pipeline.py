@@ -1,14 +1,17 @@
 """The pipeline and its stages against what the operators say of the same input."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from loomsearch.llm import langid, pii, quality, simhash
+from loomsearch.llm import langid, pii, quality
 from loomsearch.llm.common import read
 
 from .helpers import SMALL, as_folder, documents, needs_tables
 from .test_packing import valid
+from .test_resemblance import brute, shingles
 
 DOCS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,8 +36,8 @@ def test_stages_one_by_one(spark, tmp_path):
     docs = read(spark, step("language_id"), "documents")
     assert ids(docs) == want and len(want) >= 0.9 * said.count()
 
-    groups = simhash.near_duplicates(docs)
-    want = ids(groups.where("doc_id = component_id"))
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = {rows[k][0] for k in set(brute([shingles(t or "") for _, t in rows]))}  # the smallest doc_id of each group
     docs = read(spark, step("simhash_near_dedup"), "documents")
     assert ids(docs) == want and docs.count() == len(want)
 
@@ -53,6 +56,17 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted(tuple(r) for r in whole.drop("sequence_id", "offset").collect()) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
 
 
+def test_repeated_rows_and_a_very_long_text(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choices(("ka", "lo", "mi", "ter", "son", "ed"), k=rng.randint(1, 4))) for _ in range(400)]
+    text, long = " ".join(rng.choices(words, k=200)), " ".join(rng.choices(words, k=60_000))
+    docs = documents(spark, text, text, long, None, ids=[4, 4, 5, None], lang=["en"] * 4)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = corpus_pipeline.run(spark, as_folder(tmp_path, documents=docs, labels=labels)).collect()
+    assert {(r["doc_id"], r["piece"]) for r in got if r["doc_id"] == 4} == {(4, 0)} and sum(r["doc_id"] == 4 for r in got) == 1
+    assert {r["doc_id"] for r in got} == {4, 5} and sum(r["doc_id"] == 5 for r in got) > 20
+
+
 @pytest.mark.parametrize("rows", [0, 3])
 def test_odd_tables(spark, tmp_path, rows):
     docs = documents(spark, None, "", "x y z").limit(rows)
