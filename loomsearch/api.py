@@ -1,4 +1,4 @@
-"""The engine's routes as a WSGI application, for ``wsgiref`` or any other server."""
+"""The engine's routes as a WSGI application, and a server for it; the routes and the names in what they say are fixed values."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ import json
 import re
 from collections.abc import Callable, Iterable
 from datetime import datetime
+from pathlib import Path
+from socketserver import ThreadingMixIn
 from urllib.parse import parse_qs
+from wsgiref.simple_server import WSGIRequestHandler, WSGIServer, make_server
 
 from pyspark.sql import Row
 
+from .config import Config
 from .engine import Crawl, Engine, Job
 from .plans.search import Response
 
@@ -84,8 +88,10 @@ def job_of(j: Job) -> dict:
 
 
 class Api:
-    def __init__(self, engine: Engine) -> None:
-        self.engine = engine
+    """The application; with ``web_root``, the page ``index.html`` of that folder is served at the root."""
+
+    def __init__(self, engine: Engine, web_root: str | None = None) -> None:
+        self.engine, self.web_root = engine, web_root
         self.routes: list[tuple[str, str, Callable]] = [
             ("GET", "/healthz", lambda q, b: (200, {"status": "ok", "stats": engine.stats()})),
             ("GET", "/readyz", lambda q, b: (200, {"status": "ready"} | {k: v for k, v in engine.stats().items() if k in ("documents", "stale_documents", "crawl_jobs", "deduplicated_urls")})),
@@ -153,8 +159,38 @@ class Api:
         except Exception as e:
             return 500, {"error": str(e)}
 
+    def page(self) -> bytes | None:
+        """The page at the root, if there is one."""
+        path = Path(self.web_root, "index.html") if self.web_root else None
+        return path.read_bytes() if path and path.is_file() else None
+
     def __call__(self, environ: dict, start_response: Callable) -> Iterable[bytes]:
+        if environ.get("PATH_INFO", "/") == "/" and environ["REQUEST_METHOD"] in ("GET", "HEAD") and (page := self.page()) is not None:
+            start_response("200 OK", [("Content-Type", "text/html; charset=utf-8"), *HEADERS[1:]])
+            return [page]
         size = min(int(environ.get("CONTENT_LENGTH") or 0), BODY_BYTES)
         status, said = self.handle(environ["REQUEST_METHOD"], environ.get("PATH_INFO", "/"), environ.get("QUERY_STRING", ""), environ["wsgi.input"].read(size) if size else b"")
         start_response(f"{status} {REASONS[status]}", HEADERS)
         return [json.dumps(plain(said), ensure_ascii=False).encode()]
+
+
+#: Seconds that a client may take for a request, or leave a connection idle.
+CLIENT_SECONDS = 10
+
+
+class Handler(WSGIRequestHandler):
+    timeout = CLIENT_SECONDS
+
+    def log_message(self, *args) -> None:
+        pass
+
+
+class Server(ThreadingMixIn, WSGIServer):
+    daemon_threads = True
+
+
+def server(engine: Engine, config: Config, web_root: str | None = None) -> Server:
+    """A server at the address of the settings, whose jobs run in the background; ``serve_forever`` starts it."""
+    engine.start_worker()
+    host, port = config.host_port
+    return make_server(host, port, Api(engine, web_root), Server, Handler)

@@ -1,17 +1,19 @@
 """Stored indexes, stores, caches, settings, and fetching from a server of the test's own."""
 
+import socket
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomsearch.api import CLIENT_SECONDS, server
 from loomsearch.config import Config
 from loomsearch.engine import Engine
 from loomsearch.operators.index import Index, IndexStore, bm25
 from loomsearch.sources import stores
 from loomsearch.sources.caches import MemoryCache, RedisCache
-from loomsearch.sources.fetch import discoverer, fetcher, responses
+from loomsearch.sources.fetch import discoverer, fetcher, get, responses
 
 from .fixtures import NOW, doc, frame
 
@@ -190,3 +192,27 @@ def test_robots_that_cannot_be_had_forbid(spark, site):
     robots = spark.createDataFrame([("a", "", 404), ("b", "", 403), ("c", "Disallow: /x", 200), ("d", None, None)], "host string, body string, status int")
     assert sorted(r["host"] for r in unreadable(robots).collect()) == ["b", "d"]
     assert [tuple(r) for r in parsed(robots).collect()] == [("c", "*", "/x")]
+
+
+def test_server(tmp_path):
+    """The root page, an unknown page, and a client that says nothing."""
+
+    class Idle:
+        started, clock = 0.0, staticmethod(lambda: 1.0)
+
+        def start_worker(self):
+            self.working = True
+
+    idle = Idle()
+    http = server(idle, Config(address="127.0.0.1:0"), str(tmp_path))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{http.server_port}"
+    assert get(f"{root}/", "t")[0] == 404 and idle.working
+    (tmp_path / "index.html").write_text("<h1>hello</h1>")
+    assert get(f"{root}/", "t") == (200, "<h1>hello</h1>", "") and get(f"{root}/other", "t")[0] == 404
+    http.RequestHandlerClass.timeout = 0.2
+    with socket.create_connection(("127.0.0.1", http.server_port)) as s:
+        s.settimeout(5)
+        assert s.recv(1) == b""  # closed from the other side
+    http.RequestHandlerClass.timeout = CLIENT_SECONDS
+    http.shutdown()
